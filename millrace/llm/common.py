@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import importable
+
 #: Rows and bytes of one Arrow batch on its way to Python; what bounds a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
@@ -33,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def python_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
+    """Bound the Arrow batches that Python workers get, and let the workers import this library."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
