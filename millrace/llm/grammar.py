@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import python_batches, range_id, ranges, write_table
-from millrace.llm.kernels import pack, packed, repeat_ranges, texts
+from millrace.llm.kernels import mix, pack, packed, repeat_ranges, texts
 from millrace.llm.tokens import encoder
 
 FORMAT = 0x52505231
@@ -33,7 +33,8 @@ _HASH_BITS = 16
 
 
 def _frequent(keys: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The pairs that count least or more, at most so many, the most frequent first (ties: smaller key).
+    """The pairs that count least or more, at most so many, the most frequent first.  Ties go by a hash of
+    the pair: neighbours of equal count then yield to each other at random places, not all in a row.
 
     A table of hashed counts first sets aside what can't be frequent; the rest is counted exactly."""
     bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
@@ -45,7 +46,7 @@ def _frequent(keys: np.ndarray, least: int, most: int) -> np.ndarray:
     count = np.diff(np.append(first, len(maybe)))
     keep = count >= least
     pairs, count = maybe[first[keep]], count[keep]
-    return pairs[np.argsort(-count, kind="stable")][:most]
+    return pairs[np.lexsort((mix(pairs), -count))][:most]
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
