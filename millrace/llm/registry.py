@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprints, grammar, jaccard, langid, mixing, packing, secretscan, suffix, topk, urls
+from millrace.llm import fingerprints, grammar, jaccard, langid, mixing, oracles, packing, secretscan, suffix, topk, urls
 from millrace.llm.common import load
 
 
@@ -87,4 +87,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_redirect_equivalence": oracles.op2(RULES),
+        "op3_suffix_automaton_dedup": oracles.OP3,
+        "op4_impact_ordered_topk": oracles.OP4,
+        "op5_capped_water_filling": oracles.OP5,
+        "op8_minhash_forest_join": oracles.OP8,
+    }
