@@ -49,16 +49,21 @@ def shingle_hashes(text: Column, k: int) -> Column:
     return let(words(text), of)
 
 
-def signature(hashes: Column, p: Lsh) -> Column:
-    return F.array(*[F.array_min(F.transform(hashes, lambda h: (h * a + b) % PRIME)) for a, b in p.permutations()])  # noqa: B023
+def signatures(docs: DataFrame, p: Lsh) -> DataFrame:
+    """(doc_id, s): the minima of every permutation over a document's shingles.
+
+    One row a shingle and one generated loop of minima, which combine before the shuffle, instead of
+    a lambda for each permutation and shingle."""
+    rows = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"), p.words)).alias("h"))
+    least = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(p.permutations())]
+    mins = rows.groupBy("doc_id").agg(*least)
+    return mins.select("doc_id", F.array(*[f"m{i}" for i in range(len(least))]).alias("s"))
 
 
 def band_keys(docs: DataFrame, p: Lsh = Lsh()) -> DataFrame:
     """(doc_id, band, key): the bands of every document's signature."""
-    hashed = docs.select("doc_id", shingle_hashes(F.col("text"), p.words).alias("h"))
-    signed = hashed.select("doc_id", signature(F.col("h"), p).alias("s"))
     keys = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda b: F.array_join(F.slice("s", b * p.rows + 1, p.rows), "-"))
-    return signed.select("doc_id", F.posexplode(keys).alias("band", "key"))
+    return signatures(docs, p).select("doc_id", F.posexplode(keys).alias("band", "key"))
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:

@@ -47,8 +47,7 @@ def dedup_shingles(spark, d):
 
 @query("dedup_signature", f"WITH {SHINGLES} SELECT doc_id, md5(array_to_string({SIG}, ',')) AS signature_md5 FROM sh")
 def dedup_signature(spark, d):
-    h = docs(spark, d).select("doc_id", O.shingle_hashes(F.col("text"), 5).alias("h"))
-    return h.select("doc_id", F.md5(F.array_join(O.signature(F.col("h"), P), ",")).alias("signature_md5"))
+    return O.signatures(docs(spark, d), P).select("doc_id", F.md5(F.array_join("s", ",")).alias("signature_md5"))
 
 
 @query("dedup_near_pairs", f"WITH {BANDS} SELECT a, b FROM pairs")
