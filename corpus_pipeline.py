@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, langid, mixing, packing, secretscan
-from millrace.llm.common import materialize
+from millrace.llm.common import load, materialize
 from millrace.llm.registry import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -67,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(spark, stage(spark, docs, sf_dir), f"stage_{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

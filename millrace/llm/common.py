@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import importable
+from millrace.sources.tables import spread
 
 #: Rows and bytes of one Arrow batch on its way to Python; what bounds a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+#: Paths of the tables that this process has written and not dropped.
+_WRITTEN: set[str] = set()
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +47,7 @@ def python_batches(spark: SparkSession) -> None:
 def write_table(spark: SparkSession, df: DataFrame, tag: str) -> str:
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.add(path)
     return path
 
 
@@ -63,6 +67,13 @@ def drop_table(spark: SparkSession, df_or_path: DataFrame | str) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+        _WRITTEN.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process.  For when the results that read them are written."""
+    for path in list(_WRITTEN):
+        drop_table(spark, path)
 
 
 def ranges(df: DataFrame, key: str, parts: int) -> list[int]:
