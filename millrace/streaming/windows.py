@@ -23,7 +23,8 @@ def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
-    return reader.option("pathGlobFilter", name).parquet(folder)
+    # watermarks need a time with a zone; times without one are in the session's
+    return reader.option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:

@@ -29,7 +29,7 @@ def test_normalize_keeps_joiners_and_drops_noise(spark):
 
 
 def test_ghosts(spark):
-    assert one(spark, "<|im_start|>hi[/INST] <s>x", T.strip_ghosts) == " hi    x"
+    assert one(spark, "<|im_start|>hi[/INST] <s>x", T.strip_ghosts) == " hi   x"
     assert one(spark, "<s>x", lambda c: T.strip_ghosts(c, T.GHOST_PROSE)) == "<s>x"
 
 
