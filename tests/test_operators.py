@@ -191,3 +191,14 @@ def test_entry_has_rows(spark):
 
     assert os.path.isdir("/root/testdata/sf0.001")
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_stateful_threshold_equals_its_batch_twin(spark, sf, tmp_path):
+    from millrace.plans.streams import stream_threshold
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    table(spark, sf, "events").where("event_id < 300").coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = W.run(W.running_threshold(W.event_stream(spark, str(tmp_path / "in") + "/*.parquet")), str(tmp_path / "w"), "append")
+    rows = lambda df: {(r["event_type"], r["event_id"]): r["thr"] and round(r["thr"], 5) for r in df.collect()}
+    want = {k: v for k, v in rows(stream_threshold(spark, sf)).items() if k[1] < 300}
+    assert rows(got) == want
