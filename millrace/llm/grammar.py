@@ -29,24 +29,25 @@ from millrace.llm.tokens import encoder
 FORMAT = 0x52505231
 #: Ids of a shard (a longer document is a shard of its own), and what a pair must count to get a rule.
 SHARD_IDS, MIN_COUNT, ROUNDS, RULES_A_ROUND = 1 << 18, 6, 12, 4096
-_HASH_BITS = 16
+_HASH_BITS = 18
 
 
-def _frequent(keys: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The pairs that count least or more, at most so many, the most frequent first.  Ties go by a hash of
-    the pair: neighbours of equal count then yield to each other at random places, not all in a row.
+def _frequent(keys: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that count least or more, at most so many, the most frequent first; and the places
+    where one of them can be.  Ties go by a hash of the pair: neighbours of equal count then yield to
+    each other at random places, not all in a row.
 
     A table of hashed counts first sets aside what can't be frequent; the rest is counted exactly."""
     bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-    counts = np.bincount(bucket, minlength=1 << _HASH_BITS)
-    maybe = np.sort(keys[counts[bucket] >= least])
+    places = np.flatnonzero((np.bincount(bucket, minlength=1 << _HASH_BITS) >= least)[bucket])
+    maybe = np.sort(keys[places])
     if not len(maybe):
-        return maybe
+        return maybe, places
     first = np.flatnonzero(np.append(True, maybe[1:] != maybe[:-1]))
     count = np.diff(np.append(first, len(maybe)))
     keep = count >= least
     pairs, count = maybe[first[keep]], count[keep]
-    return pairs[np.lexsort((mix(pairs), -count))][:most]
+    return pairs[np.lexsort((mix(pairs), -count))][:most], places
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -63,15 +64,16 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if len(seq) < 2:
             break
         keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        valid = ~last[:-1]
-        pairs = _frequent(keys[valid], MIN_COUNT, RULES_A_ROUND)
+        inner = np.flatnonzero(~last[:-1])
+        pairs, places = _frequent(keys[inner], MIN_COUNT, RULES_A_ROUND)
         if not len(pairs):
             break
+        places = inner[places]
         order = np.argsort(pairs)
         by_key = pairs[order]
-        found = np.minimum(np.searchsorted(by_key, keys), len(by_key) - 1)
-        rank = np.where(valid & (by_key[found] == keys), order[found], len(pairs))
-        rank = np.concatenate([[len(pairs)], rank, [len(pairs)]])
+        found = np.minimum(np.searchsorted(by_key, keys[places]), len(by_key) - 1)
+        rank = np.full(len(keys) + 2, len(pairs))
+        rank[places + 1] = np.where(by_key[found] == keys[places], order[found], len(pairs))
         here = (rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:]) & (rank[1:-1] < len(pairs))
         at = np.flatnonzero(here)
         used, which = np.unique(rank[1:-1][at], return_inverse=True)
