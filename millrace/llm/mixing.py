@@ -64,21 +64,19 @@ def mix(spark: SparkSession, docs: DataFrame, weights: list[int], max_epochs: in
     held = docs.select(
         F.struct(*keep).alias("kept"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("order_id"),
         words(F.col("text").cast("string")).alias("size"), mark.alias("mark"), tie.alias("tie"),
-    )
+    ).withColumn("named", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # never null: plain keys for join and window alike
     if "text" not in keep:
         held = materialize(spark, held, "sizes")
     digits = max(1, math.ceil(math.log(max(1, held.count()) / BUCKET_ROWS, 16)))
     held = held.withColumn("bucket", F.substring("mark", 1, digits))
-    buckets = held.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
+    buckets = held.groupBy("named", "source", "bucket").agg(F.sum("size").alias("size"))
     buckets = materialize(spark, buckets, "buckets")
-    named = targets(buckets, weights, max_epochs).withColumn("words", F.round("target").cast("long"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = targets(buckets, weights, max_epochs).withColumn("words", F.round("target").cast("long"))
+    run = Window.partitionBy("named").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0))).drop("size").alias("b")
-    starts = starts.join(named.alias("n"), F.expr("b.source <=> n.source")).select("b.source", "b.bucket", "before", "source_size", "target", "words")
-    joined = held.alias("h").join(starts.alias("s"), F.expr("h.source <=> s.source AND h.bucket = s.bucket")).select(
-        "h.*", "before", "source_size", "target", "words"
-    )
-    inside = Window.partitionBy("source", "bucket").orderBy("mark", "order_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.join(wanted.alias("w"), F.expr("b.source <=> w.source")).select("named", "bucket", "before", "source_size", "target", "words")
+    joined = held.join(starts, ["named", "bucket"])
+    inside = Window.partitionBy("named", "bucket").orderBy("mark", "order_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     passed = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     whole = F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - whole * F.col("source_size") - passed))
