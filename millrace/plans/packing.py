@@ -15,6 +15,8 @@ TOKENS = f"""{TURN}, o AS (SELECT *, CAST(sum(n) OVER (PARTITION BY sample ORDER
 k AS (SELECT sample AS seq, CAST(e - n + i AS BIGINT) AS pos, CASE WHEN e - n + i < 200 THEN CAST(turn // 2 AS BIGINT) ELSE -1 END AS segment_id, is_target FROM o, range(0, 4000) AS r(i) WHERE i < n AND e - n + i < 256),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY seq, segment_id ORDER BY pos) - 1 AS INTEGER) AS position_id,
   coalesce(lead(is_target) OVER (PARTITION BY seq ORDER BY pos) AND lead(segment_id) OVER (PARTITION BY seq ORDER BY pos) = segment_id AND segment_id >= 0, false) AS loss_mask FROM k)"""
+#: Words of a sequence; and the bits of seq that number the windows of one conversation.
+WINDOW, WINDOW_BITS = 256, 24
 
 
 def n_words(text="text"):
@@ -30,13 +32,21 @@ def turns(spark, d):
 
 
 def token_rows(spark, d):
-    """Words of each conversation as positions of a sequence of 256; from 200 on they count as padding."""
+    """Every word of each conversation in consecutive windows of WINDOW positions, each a sequence of its own.
+
+    seq holds the conversation in its upper bits and the window in its lower ones.  Segments are exchanges (two
+    turns); one that crosses windows goes on in the next.  Only what the last window lacks is padding."""
     from pyspark.sql import Window
 
-    run = Window.partitionBy("sample").orderBy("turn")
-    o = turns(spark, d).withColumn("e", F.sum("n").over(run)).where("n > 0")
-    at = o.select(F.col("sample").alias("seq"), "turn", "is_target", F.explode(F.sequence(F.col("e") - F.col("n"), F.col("e") - 1)).alias("pos")).where("pos < 256")
-    return at.select("seq", "pos", F.when(F.col("pos") < 200, F.floor(F.col("turn") / 2)).otherwise(-1).cast("long").alias("segment_id"), "is_target")
+    sample, i, e = Window.partitionBy("sample"), F.col("i"), F.col("e")
+    o = turns(spark, d).withColumns({"e": F.sum("n").over(sample.orderBy("turn")), "total": F.sum("n").over(sample)}).where("n > 0")
+    last = F.when(e == F.col("total"), F.ceil(e / WINDOW) * WINDOW).otherwise(e) - 1
+    at = o.select("sample", "turn", "is_target", "e", F.explode(F.sequence(e - F.col("n"), last)).alias("i"))
+    window = F.floor(i / WINDOW)
+    return at.select(
+        (F.shiftleft("sample", WINDOW_BITS) + window).alias("seq"), (i - window * WINDOW).alias("pos"),
+        F.when(i < e, F.floor(F.col("turn") / 2)).otherwise(-1).cast("long").alias("segment_id"), (F.col("is_target") & (i < e)).alias("is_target"),
+    )
 
 
 @query("pack_windows", f"WITH s AS (SELECT source AS shard, CAST(sum({NW}) AS BIGINT) AS n FROM documents GROUP BY source), x AS (SELECT shard, i * 256 AS a, least(n, i * 256 + 256) AS b FROM s, range(0, 100000) AS r(i) WHERE i * 256 < n) SELECT shard, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM x WHERE b - a >= 32")
