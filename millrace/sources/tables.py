@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the cluster's checkpoint folder, where its lineage ends; a local folder only where none is set."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        context.setCheckpointDir(named)
+    path = f"{named.rstrip('/')}/millrace/{uuid.uuid4().hex}/{tag}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register tables for spark.sql."""
     for name in names:
