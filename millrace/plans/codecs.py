@@ -72,10 +72,25 @@ def nearest_label_rate(spark, d):
 
 @query("family_distance", f"SELECT a.label = b.label AS same, count(*) AS pairs, round(avg({COS}), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 = 0 GROUP BY 1")
 def family_distance(spark, d):
-    """Mean cosine within and across labels, over a lattice of vectors (the operator takes any set)."""
-    a, b = unit_vectors(spark, d, 10).alias("a"), unit_vectors(spark, d, 10).alias("b")
-    met = a.join(b, F.expr("a.vec_id < b.vec_id"))
-    return met.groupBy(F.expr("a.label = b.label").alias("same")).agg(F.count("*").alias("pairs"), F.round(F.avg(O.dot("a.u", "b.u")), 6).alias("cosine"))
+    """Mean cosine within and across labels, over all pairs, from sums of unit vectors and no pairs.
+
+    The cosines of all pairs of a set add up to half of |sum|^2 less the number of vectors.  Pairs
+    with a label that is null are a group by themselves."""
+    part = unit_vectors(spark, d).select("label", F.posexplode("u").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    known, square = F.col("label").isNotNull(), lambda c: F.sum(F.col(c) * F.col(c))
+    by_label = part.groupBy("label").agg(square("s").alias("q"), F.max("n").alias("n"))
+    own = by_label.agg(
+        F.sum(F.when(known, F.col("q") - F.col("n")) / 2).alias("c_in"), F.sum(F.when(known, F.expr("n * (n - 1) div 2"))).alias("p_in"),
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("n_known"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"),
+    )
+    sums = part.groupBy("i").agg(F.sum("s").alias("all"), F.sum(F.when(known, F.col("s"))).alias("known"))
+    total = own.crossJoin(sums.agg(square("all").alias("q_all"), square("known").alias("q_known")))
+    cosine = lambda k: (F.col(f"q_{k}") - F.col(f"n_{k}")) / 2
+    count = lambda k: F.expr(f"n_{k} * (n_{k} - 1) div 2")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = [(True, F.col("p_in"), F.col("c_in")), (False, count("known") - F.col("p_in"), cosine("known") - F.col("c_in")), (None, count("all") - zero(count("known")), cosine("all") - zero(cosine("known")))]
+    row = F.explode(F.array(*[F.struct(F.lit(k).cast("boolean").alias("same"), p.cast("long").alias("pairs"), c.cast("double").alias("c")) for k, p, c in rows])).alias("r")
+    return total.select(row).where("r.pairs > 0").select("r.same", "r.pairs", F.round(F.col("r.c") / F.col("r.pairs"), 6).alias("cosine"))
 
 
 @query("kronecker_codes")
