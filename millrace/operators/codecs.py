@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import importable
+
 CROP = 32
 
 
@@ -112,3 +114,34 @@ def unit(v: str) -> Column:
     """A vector scaled to length 1, so that pairs need one product."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     return F.transform(v, lambda x: x.cast("double") / norm)
+
+
+#: Vectors of a block, of which two meet in one product; and what stands for a null label there.
+BLOCK, NO_LABEL = 1024, -(1 << 63)
+
+
+def extreme_cosines(units: DataFrame) -> DataFrame:
+    """One row (least_same, most_other): of all pairs of (vec_id, label, u), the least cosine within labels and the most across.
+
+    Every two blocks meet once, in NumPy.  Pairs with a null label count for neither; no such pair gives null."""
+    importable(units.sparkSession)
+    blocks = -(-units.count() // BLOCK) or 1
+    dealt = units.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("vec_id").alias("id"), F.collect_list(F.coalesce(F.col("label").cast("long"), F.lit(NO_LABEL))).alias("label"), F.flatten(F.collect_list("u")).alias("u"))
+    a, b = (dealt.select(*[F.col(c).alias(f"{c}_{side}") for c in dealt.columns]) for side in "ab")
+    met = a.join(b, F.expr("block_a <= block_b"))
+
+    def extremes(batches):
+        for batch in batches:
+            least, most = [], []
+            for r in batch.to_dict("records"):
+                (i, j), (k, m) = ((np.asarray(r[f"{c}_a"]), np.asarray(r[f"{c}_b"])) for c in ("id", "label"))
+                cos = np.asarray(r["u_a"]).reshape(len(i), -1) @ np.asarray(r["u_b"]).reshape(len(j), -1).T
+                pair = (i[:, None] != j[None, :]) & (k[:, None] != NO_LABEL) & (m[None, :] != NO_LABEL)
+                same = k[:, None] == m[None, :]
+                least.append(np.min(cos, where=pair & same, initial=np.inf))
+                most.append(np.max(cos, where=pair & ~same, initial=-np.inf))
+            yield pd.DataFrame({"least_same": least, "most_other": most}, dtype=float)
+
+    found = met.mapInPandas(extremes, "least_same double, most_other double")
+    finite = lambda c: F.when(F.abs(c) <= 2, c)
+    return found.agg(finite(F.min("least_same")).alias("least_same"), finite(F.max("most_other")).alias("most_other"))

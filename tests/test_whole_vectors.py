@@ -32,3 +32,12 @@ def test_family_distance_is_over_all_pairs(spark, data):
     got = {r["same"]: (r["pairs"], r["cosine"]) for r in queries()["family_distance"](spark, data).collect()}
     assert {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in want.items()}
     assert all(abs(c - sum(want[k]) / len(want[k])) < 1.5e-6 for k, (_, c) in got.items())
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_relatedness_is_over_all_pairs(spark, data, block, monkeypatch):
+    monkeypatch.setattr("millrace.operators.codecs.BLOCK", block)
+    known = [(s, c) for s, c in pairs(spark, data) if s is not None]
+    got = queries()["relatedness"](spark, data).first()
+    assert abs(got["least_related"] - min(c for s, c in known if s)) < 1.5e-6
+    assert abs(got["most_unrelated"] - max(c for s, c in known if not s)) < 1.5e-6
