@@ -99,7 +99,7 @@ def evidence_bundle(spark, d):
 @query("reconcile_lists", "SELECT coalesce(a.doc_id, b.item_id) AS id, CASE WHEN b.item_id IS NULL THEN 'missing_right' WHEN a.doc_id IS NULL THEN 'missing_left' WHEN length(a.text) <> length(b.text) THEN 'differs' ELSE 'same' END AS finding FROM (SELECT doc_id, text FROM documents WHERE doc_id < 60) a FULL JOIN (SELECT item_id + 30 AS item_id, text FROM benchmark) b ON a.doc_id = b.item_id")
 def reconcile_lists(spark, d):
     """Two lists by key: what either lacks, and what differs."""
-    a = table(spark, d, "documents").where("doc_id < 60").select(F.col("doc_id").alias("id"), F.length("text").alias("x"))
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("x"))
     b = table(spark, d, "benchmark").select((F.col("item_id") + 30).alias("id"), F.length("text").alias("y"))
     finding = F.when(F.col("y").isNull(), "missing_right").when(F.col("x").isNull(), "missing_left").when(F.col("x") != F.col("y"), "differs").otherwise("same")
     return a.join(b, "id", "full").select("id", finding.alias("finding"))
@@ -118,7 +118,7 @@ def chronology_check(spark, d):
 @query("fetch_batches", "SELECT CAST((r - 1) // 12 AS BIGINT) AS batch, count(*) AS ids, min(doc_id) AS first_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE doc_id % 5 = 0) GROUP BY 1")
 def fetch_batches(spark, d):
     r = F.row_number().over(Window.orderBy("doc_id"))
-    ids = table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.floor((r - 1) / 12).alias("batch"))
+    ids = table(spark, d, "documents").select("doc_id", F.floor((r - 1) / 12).alias("batch"))
     return ids.groupBy("batch").agg(F.count("*").alias("ids"), F.min("doc_id").alias("first_id"))
 
 
