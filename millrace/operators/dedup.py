@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let, words
+from millrace.sources.tables import cut
 
 PRIME = (1 << 31) - 1
 
@@ -73,22 +74,38 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
-def greedy_duplicates(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def greedy_duplicates(pairs: DataFrame) -> DataFrame:
     """doc_ids that a scan by doc_id drops: those that share a band with an earlier kept one.
 
     Each round settles all documents whose earlier partners are settled; pairs of settled
-    documents leave.  The number of rounds is the longest chain of partners."""
-    spark = pairs.sparkSession
-    left = pairs.persist()
-    dropped = spark.createDataFrame([], "doc_id long")
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    documents leave.  Rounds go on until no pair is left, as many as the longest chain of partners
+    asks for; what a round leaves and what it drops are written, so that plans stay short."""
+    left, dropped = cut(pairs, "pairs"), []
+    while not left.isEmpty():
         heads = left.select(F.col("a").alias("doc_id")).distinct().join(left.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
-        gone = left.join(heads.withColumnRenamed("doc_id", "a"), "a", "left_semi").select(F.col("b").alias("doc_id")).distinct().persist()
-        dropped = dropped.union(gone)
-        left = left.join(gone.withColumnRenamed("doc_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("doc_id", "b"), "b", "left_anti").persist()
-    return dropped.distinct()
+        gone = cut(left.join(heads.withColumnRenamed("doc_id", "a"), "a", "left_semi").select(F.col("b").alias("doc_id")).distinct(), "gone")
+        dropped += gone.inputFiles()
+        left = cut(left.join(gone.withColumnRenamed("doc_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("doc_id", "b"), "b", "left_anti"), "pairs")
+    spark = pairs.sparkSession
+    return spark.read.schema("doc_id long").parquet(*dropped) if dropped else spark.createDataFrame([], "doc_id long")
+
+
+def component_duplicates(pairs: DataFrame) -> DataFrame:
+    """doc_ids that are not the least of their component of near pairs.
+
+    Every document takes the least name among its own and its neighbours', then that name's own name,
+    until no name changes."""
+    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "edges")
+    names = cut(both.groupBy(F.col("a").alias("doc_id")).agg(F.least("doc_id", F.min("b")).alias("name")), "names")
+    while True:
+        of = names.select(F.col("doc_id").alias("b"), F.col("name").alias("m"))
+        near = both.join(of, "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("m").alias("m"))
+        least = names.join(near, "doc_id").select("doc_id", "name", F.least("name", "m").alias("m"))
+        jump = names.select(F.col("doc_id").alias("m"), F.col("name").alias("next"))
+        after = cut(least.join(jump, "m").select("doc_id", F.col("name").alias("was"), F.least("m", "next").alias("name")), "names")
+        names = after.select("doc_id", "name")
+        if after.where("name <> was").isEmpty():
+            return names.where("doc_id <> name").select("doc_id")
 
 
 def duplicate_of(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -62,6 +62,12 @@ def dedup_near_greedy(spark, d):
     return O.greedy_duplicates(O.candidate_pairs(O.band_keys(docs(spark, d))))
 
 
+@query("dedup_near_keep", f"WITH RECURSIVE {BANDS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT a AS doc_id, b AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other) SELECT doc_id FROM r GROUP BY doc_id HAVING min(other) < doc_id")
+def dedup_near_keep(spark, d):
+    """What a keep of one document (the first) a component of near pairs drops."""
+    return O.component_duplicates(O.candidate_pairs(O.band_keys(docs(spark, d))))
+
+
 @query("dedup_local_vs_global", f"WITH {BANDS} SELECT count(*) AS global_pairs, count(*) FILTER (a % 4 = b % 4) AS local_pairs, count(*) FILTER (a % 4 <> b % 4) AS cross_shard FROM pairs")
 def dedup_local_vs_global(spark, d):
     """Pairs that four shards by themselves would miss."""
