@@ -38,7 +38,7 @@ KINDS = [
     Kind("access", r"(AKIA[A-Z0-9]{16,})", "id", True),
     Kind("hex", r"([0-9a-f]{24,})", "secret", True),
     Kind("weak_id", r"""((?i:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=@-]{3,}))""", "id", False),
-    Kind("weak_secret", r"""((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{12,64}(?![A-Za-z0-9+/_=-]))""", "secret", False),
+    Kind("weak_secret", r"""((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{12,}(?![A-Za-z0-9+/_=-]))""", "secret", False),
     Kind("endpoint", r"""((?i:https?|wss?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@/?&=%+-]+)""", "endpoint", False),
 ]
 SPAN = "array<struct<start:long,end:long,kind:int>>"
