@@ -165,24 +165,82 @@ def test_automaton_statistics(known, query):
         assert n == max([m for m in range(e + 1) if m == 0 or tuple(query[e - m:e]) in inside])
 
 
-def test_op4_exact(spark, sf):
-    df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    extra = [(100_000 + i, [0.5] * 64) for i in range(60)] + [(None, [1.0] * 64), (200_000, None), (200_050, [float("nan")] * 64), (200_100, [None] * 64), (300_000, [float("inf")] * 64), (400_000, [])]
-    both = df.unionByName(spark.createDataFrame(extra, "vec_id long, embedding array<float>"))
-    vectors = {}
-    for r in both.collect():
-        e = r["embedding"]
-        if r["vec_id"] is not None and e and all(x is not None and math.isfinite(x) for x in e):
-            vectors[r["vec_id"]] = np.array([math.floor(256 * float(x)) for x in e])
+def best_by_hand(rows, k=5):
+    """query id: its k best (-score, vec_id), every row a candidate, the rows of one id one query."""
+    known = []
+    for i, e in rows:
+        if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
+            known.append((i, [math.floor(x * 256) if abs(x) < 2.0**53 else int(x) * 256 for x in map(float, e)]))
+    out = {}
+    for q in {i for i, _ in known if i % 50 == 0}:
+        scores = []
+        for i, v in known:
+            got = [sum(a * b for a, b in zip(w, v, strict=True)) for j, w in known if j == q and len(w) == len(v)]
+            if i != q and got:
+                scores.append((-max(got), i))
+        out[q] = sorted(scores)[:k]
+    return {q: s for q, s in out.items() if s}
+
+
+def best_found(spark, rows, kind="double"):
     got = defaultdict(list)
-    for r in topk.search(spark, both).orderBy("query_id", "rank").collect():
+    for r in topk.search(spark, spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((-r["score"], r["vec_id"]))
-    assert set(got) == {q for q in vectors if q % 50 == 0}
-    for q in got:
-        assert got[q] == sorted((-int(vectors[q] @ v), c) for c, v in vectors.items() if c != q)[:5]
-    assert topk.search(spark, both.limit(0)).count() == 0
-    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<float>")
-    assert [(r["query_id"], r["vec_id"]) for r in topk.search(spark, few).collect()] == [(0, 1)]
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
+def test_op4_exact(spark, sf):
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    rows += [(100_000 + i, [0.5] * 64) for i in range(60)] + [(None, [1.0] * 64), (200_000, None), (200_050, [float("nan")] * 64), (200_100, [None] * 64), (300_000, [float("inf")] * 64), (400_000, []), (400_001, [])]
+    got = best_found(spark, rows, "float")
+    assert got == best_by_hand(rows)
+    assert got[400_000] == [(0, 400_001)]
+    assert topk.search(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert best_found(spark, [(0, [1.0, 2.0]), (1, [3.0, 1.0])]) == {0: [(-(256 * 256 * 5), 1)]}
+
+
+def test_op4_repeated_ids_and_blocks(spark, monkeypatch):
+    """30 rows of a query's own id and vector, other vectors under one id, repeated candidates; in many small blocks."""
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i + 1, rng.normal(size=8).tolist()) for i in range(300)]
+    own = (rng.normal(size=8) * 3).tolist()
+    rows += [(0, own)] * 30 + [(50, (rng.normal(size=8) * 2).tolist()) for _ in range(3)] + rows[6:9] * 4
+    assert best_found(spark, rows) == best_by_hand(rows)
+
+
+def test_op4_large_components(spark):
+    """Finite vectors of any size take part; scores beyond a long keep their order."""
+    rows = [(0, [1e13, 0.0]), (1, [1e13, 1.0]), (2, [3.0, -1e300]), (3, [-1e308, 5e-324]), (50, [1.7e308, -1.0]), (4, [1e12, 7.0]), (5, [1e13 + 2, 1.0]), (6, [0.5, 0.25])]
+    got, want = best_found(spark, rows), best_by_hand(rows)
+    cut = lambda s: max(-topk.LONG - 1, min(topk.LONG, s))
+    assert got == {q: [(-cut(-s), i) for s, i in found] for q, found in want.items()}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(1, 4), st.integers(1, 400), st.integers(0, 60))
+def test_op4_index_against_all_scores(seed, k, n, own):
+    """Blocks where many rows are the query's own, with small whole numbers (ties) or normal components."""
+    rng = np.random.default_rng(seed)
+    dims = int(rng.integers(1, 12))
+    values = rng.integers(-3, 4, (n, dims)) / 256 if seed % 2 else rng.normal(size=(n, dims)) * 10.0 ** rng.integers(-2, 3, (n, 1))
+    ids = rng.integers(1, 2 * n + 1, n)
+    values[:own], ids[:own] = values[0], 0
+    got = topk.Index(ids, values).search(values[0], 0, k)
+    ints = np.floor(values * 256).astype(np.int64)
+    want = sorted((-int(s), int(i)) for s, i in zip(ints @ ints[0], ids, strict=True) if i != 0)[:k]
+    assert [(-s, i) for s, i, _ in got] == want
+
+
+def test_op4_proof_saves_segments():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(4000, 64))
+    index = topk.Index(np.arange(4000), v / np.linalg.norm(v, axis=1, keepdims=True))
+    for q in range(0, 4000, 100):
+        index.search(index.raw[q], q, 5)
+    assert index.read < 0.8 * index.there
 
 
 def water(sizes, weights, epochs):
