@@ -89,14 +89,15 @@ def stage_table(spark: SparkSession, schedule: Schedule) -> DataFrame:
 
 def shares_table(spark: SparkSession, schedule: Schedule) -> DataFrame:
     """(step, lane, share), by a range join of steps with stages and a blend with the stage before."""
-    mix = spark.createDataFrame([(i, lane, float(x)) for i, r in enumerate(schedule.compiled) for lane, x in zip(LANES, r["mix"], strict=True)], "i int, lane string, x double")
+    mix = spark.createDataFrame([(i, k, lane, float(r["mix"][k])) for i, r in enumerate(schedule.compiled) for k, lane in enumerate(LANES)], "i int, k int, lane string, x double")
     st = spark.createDataFrame([(i, r["step_start"], r["step_end"], r["warmup_steps"]) for i, r in enumerate(schedule.compiled)], "i int, a int, b int, w int")
     steps = spark.range(schedule.n_steps).select(F.col("id").cast("int").alias("step"))
     at = steps.join(st, F.expr("step >= a AND step < b")).join(mix, "i").join(mix.select((F.col("i") + 1).alias("i"), "lane", F.col("x").alias("prev")), ["i", "lane"], "left")
     warm = (F.col("i") > 0) & (F.col("step") - F.col("a") < F.col("w"))
     a = (F.col("step") - F.col("a") + 1) / (F.col("w") + 1)
     raw = at.withColumn("raw", F.when(warm, (1 - a) * F.col("prev") + a * F.col("x")).otherwise(F.col("x")))
-    return raw.select("step", "lane", (F.col("raw") / F.sum("raw").over(Window.partitionBy("step"))).alias("share"))
+    every = Window.partitionBy("step").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the lanes' order
+    return raw.select("step", "lane", (F.col("raw") / F.sum("raw").over(every)).alias("share"))
 
 
 def thresholds(scores: DataFrame, by: str = "lane") -> DataFrame:

@@ -31,13 +31,22 @@ def mixture_at_step(spark, d):
     return O.shares_table(spark, O.Schedule()).select("step", "lane", F.round("share", 6).alias("share"))
 
 
-@query("integrated_mixture", f"WITH {STAGE}, h AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {v})' for k, v in O.HEADLINE.items())}) AS t(lane, headline)) SELECT lane, round(avg(share), 4) AS planned, round(avg(share) - any_value(CAST(headline AS DOUBLE)), 4) AS drift, abs(avg(share) - any_value(CAST(headline AS DOUBLE))) > 0.03 AS out_of_tolerance FROM sh JOIN h USING (lane) GROUP BY lane")
+_AT = f"list_position([{', '.join(repr(x) for x in O.LANES)}], lane)"
+#: Sums of doubles in the order of lanes and of steps: one mean lies at the edge of rounding, where any other order is chance.
+ORDERED = f"""t AS (SELECT step, list_reduce(list(x ORDER BY {_AT}), lambda a, c: a + c) AS total FROM b GROUP BY step),
+p AS (SELECT lane, list_reduce(list(x / total ORDER BY step), lambda a, c: a + c) / count(*) AS planned FROM b JOIN t USING (step) GROUP BY lane)"""
+
+
+@query("integrated_mixture", f"WITH {STAGE}, {ORDERED}, h AS (SELECT lane, CAST(headline AS DOUBLE) AS headline FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {v})' for k, v in O.HEADLINE.items())}) AS t(lane, headline)) SELECT lane, round(planned, 4) AS planned, round(planned - headline, 4) AS drift, abs(planned - headline) > 0.03 AS out_of_tolerance FROM p JOIN h USING (lane)")
 def integrated_mixture(spark, d):
+    """Mean share of each lane over the steps.  Doubles are added in the order of the steps, so the order in which
+    a shuffle brings them can't move a sum that lies at the edge of rounding."""
     head = spark.createDataFrame(list(O.HEADLINE.items()), "lane string, headline double")
-    drift = F.avg("share") - F.first("headline")
-    return O.shares_table(spark, O.Schedule()).join(head, "lane").groupBy("lane").agg(
-        F.round(F.avg("share"), 4).alias("planned"), F.round(drift, 4).alias("drift"), (F.abs(drift) > O.DRIFT_TOLERANCE).alias("out_of_tolerance")
-    )
+    steps = F.array_sort(F.collect_list(F.struct("step", "share")))
+    mean = F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + s["share"]) / F.count("*")
+    p = O.shares_table(spark, O.Schedule()).groupBy("lane").agg(mean.alias("planned")).join(head, "lane")
+    drift = F.col("planned") - F.col("headline")
+    return p.select("lane", F.round("planned", 4).alias("planned"), F.round(drift, 4).alias("drift"), (F.abs(drift) > O.DRIFT_TOLERANCE).alias("out_of_tolerance"))
 
 
 @query("model_phase", "SELECT CAST(step AS INTEGER) AS step, CASE WHEN step / 80.0 < 0.25 THEN 'early' WHEN step / 80.0 < 0.60 THEN 'mid' WHEN step / 80.0 < 0.97 THEN 'late' ELSE 'anneal' END AS phase FROM range(0, 80) AS r(step)")
