@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, python_batches
 
-#: Vectors of an index block and queries of a query block; levels of impact; segments between two attempts at a
-#: proof; the share of a block (1 / FEW) that a proof must leave at most.
-BLOCK, QUERY_BLOCK, LEVELS, PROVE_EVERY, FEW = 32768, 256, 3, 32, 16
+#: Vectors of an index block and queries of a query block; levels of impact; segments that are added between two
+#: attempts at a proof; the share of a block (1 / FEW) that a proof must leave at most.
+BLOCK, QUERY_BLOCK, LEVELS, PROVE_EVERY, FEW = 32768, 256, 2, 32, 16
 SCALE = 256
 LONG = (1 << 63) - 1
 
@@ -72,7 +72,7 @@ class Index:
                     low.append(v.min())
                     high.append(v.max())
                     rows.append(at)
-                    values.append(np.stack([v, v * v], axis=1))
+                    values.append(v)
         self.dim, self.low, self.high = np.array(dim, np.int64), np.array(low, float), np.array(high, float)
         self.rows, self.values = rows, values
         #: segments read and segments there, over all queries
@@ -117,20 +117,21 @@ class Index:
             order = np.argsort(-np.maximum(np.abs(weight * self.low), np.abs(weight * self.high)), kind="stable")
             order = order[weight[order] != 0]
             unread = np.bincount(self.dim[order], minlength=self.dims)
-            seen = np.zeros(n, np.complex128)  # score, and squares of what has been read
+            score, read = np.zeros(n), np.zeros(n)  # and the squares of what has been read
             slack = 4e-16 * (self.dims + 4) * np.sqrt(self.squares * squares.sum()) + 1  # of sums of doubles
         self.there += len(order)
-        few, i = max(4 * k, n // FEW), 0
-        for i, s in enumerate(order.tolist(), 1):
-            d = self.dim[s]
-            seen[self.rows[s]] += (self.values[s] * (query[d], 1.0)).view(np.complex128)[:, 0]
-            unread[d] -= 1
-            if i % PROVE_EVERY and i < len(order):
-                continue
-            left = np.maximum(self.squares - seen.imag, 0) + 1e-9 * self.squares
+        few = max(4 * k, n // FEW)
+        for start in range(0, len(order), PROVE_EVERY):
+            stride = order[start:start + PROVE_EVERY].tolist()
+            rows, values = np.concatenate([self.rows[s] for s in stride]), np.concatenate([self.values[s] for s in stride])
+            size = [len(self.rows[s]) for s in stride]
+            score += np.bincount(rows, values * np.repeat(weight[stride], size), n)
+            read += np.bincount(rows, values * values, n)
+            np.subtract.at(unread, self.dim[stride], 1)
+            left = np.maximum(self.squares - read, 0) + 1e-9 * self.squares
             more = np.sqrt(left * squares[unread > 0].sum()) * (1 + 1e-9) + slack
-            reach = seen.real + more
-            bound = seen.real - more
+            reach = score + more
+            bound = score - more
             bound[mine] = -np.inf
             bound[self.beyond] = -np.inf
             # a vector's own score, less what doubles may err, bounds it better: take it of those that lead
@@ -141,9 +142,9 @@ class Index:
             reach[self.beyond], reach[mine] = np.inf, -np.inf
             possible = np.flatnonzero(~(reach < kth) & (reach > -np.inf))
             if len(possible) <= few + len(self.beyond):
-                self.read += i
+                self.read += start + len(stride)
                 return possible
-        self.read += i
+        self.read += len(order)
         return np.arange(n)
 
 
