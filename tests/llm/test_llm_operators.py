@@ -382,10 +382,55 @@ def test_op8_links_and_groups(spark, docs, block, monkeypatch):
     assert all(n == 1 for g, n in by_group.items() if g is not None and g not in (15, 17))
 
 
-def test_forest_prefix_meets_its_target():
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_forest_shortens_until_the_target(seed):
+    """Whatever the sizes of prefix groups: the need is met, and one step less in the dearest tree would not meet it."""
+    f, rng = jaccard.Forest(), np.random.default_rng(seed)
+    sizes = np.sort(rng.integers(1, 10 ** rng.integers(1, 6), (20, f.trees, f.depth - f.floor + 1)), axis=2)[:, :, ::-1]
+    depth = f.shorten(sizes)
+    gain = np.array([f.gain(k) if k else 0 for k in range(f.depth + 1)])
+    assert depth.min() >= f.floor and depth.max() <= f.depth
+    total = gain[depth].sum(axis=1)
+    assert (total >= f.need() - 1e-9).all()
+    longer = np.where(depth < f.depth, gain[depth] - gain[np.minimum(depth + 1, f.depth)], np.inf).max(axis=1, where=depth < f.depth, initial=0)
+    assert (total - longer < f.need()).all()
+
+
+def test_forest_keeps_large_groups_closed():
+    """A class in large prefix groups of some trees asks for its partners in the others."""
     f = jaccard.Forest()
-    k = f.prefix()
-    assert 1 - (1 - f.similarity**k) ** f.trees >= f.recall and (k == f.depth or 1 - (1 - f.similarity ** (k + 1)) ** f.trees < f.recall)
+    sizes = np.ones((1, f.trees, f.depth - f.floor + 1), np.int64)
+    sizes[0, :8, 0] = 1000
+    sizes[0, :8, 1] = 500
+    assert (f.shorten(sizes)[0, :8] == f.depth).all() and (f.shorten(sizes)[0, 8:] == f.floor).any()
+    with pytest.raises(ValueError):
+        jaccard.Forest(trees=4)
+
+
+def test_op8_recall_at_the_threshold(spark):
+    """300 pairs of similarity 0.8 to 0.83 and 300 a little below: links are those of brute force."""
+    rng = np.random.default_rng(8)
+    rows, close = [], 0
+    for pair in range(600):
+        words = [f"w{pair}x{i}" for i in range(124)]  # 120 shingles
+        changed = words.copy()
+        cut = int(rng.integers(10, 14)) if pair < 300 else int(rng.integers(14, 18))
+        changed = changed[:len(words) - cut] + [f"v{pair}x{i}" for i in range(cut)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(changed))]
+        close += (120 - cut) / (120 + cut) >= 0.8
+    got = jaccard.join(spark, spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()
+    found = sum(r["n_links"] for r in got) // 2
+    assert close >= 300 and found == close
+
+
+def test_op8_names_that_clash(spark, sample):
+    from pyspark.sql import functions as F
+
+    named = sample.select("doc_id", "text", F.lit("x").alias("first"), F.lit("y").alias("Class_ID"), F.lit("z").alias("group"), F.lit(1).alias("node"))
+    got = jaccard.join(spark, named, keep=["doc_id", "first", "Class_ID", "group", "node"])
+    assert got.columns == ["doc_id", "group", "node", "class_id", "n_links", "first"]
+    assert got.where("group = 'z' AND node = 1 AND first").count() > 0
 
 
 def test_op9_accuracy_and_unknowns(spark, sample, edges, none):
