@@ -2,12 +2,17 @@
 
 Equal windows pick the same anchor, the least hash of the short n-grams in them, so
 consecutive windows of one anchor travel as one segment, and every two equal windows meet
-under their anchor.  Segments of equal content are settled by their order alone.  Where
-an anchor has segments of different content, these form reference shards of bounded
-size: each shard is a suffix automaton in the task that owns it, and the segments are
-streamed past it in corpus order for matching statistics.  (Broadcasting automata of all
-reference shards to all documents would send the corpus to every executor; routing
-by anchor sends each segment to the one shard that can match it.)
+under their anchor.  Hashes only route: which windows repeat is decided on words.
+The segments of an anchor that others share are fetched from the texts.  Those of equal
+words form a passage; its first is compared with each later one, word by word.  The
+passages of an anchor are a reference shard of bounded size: a suffix automaton in the task
+that owns it, past which they are streamed in corpus order for matching statistics.  An
+anchor with more segments than a shard takes is split by a finer key, the whole window, so
+that all that share it are one passage.
+
+(Broadcasting automata of all reference shards to all documents would send the corpus to
+every executor, as every document is a reference for later ones; routing by anchor sends
+each segment to the one shard that can match it.)
 """
 
 from __future__ import annotations
@@ -20,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, python_batches
-from millrace.llm.kernels import _WORDS, mix, repeat_ranges, slices, sliding_min, texts, window_hashes, word_hashes
+from millrace.llm.common import BATCH_BYTES, materialize, python_batches
+from millrace.llm.kernels import _WORDS, mix, pack, repeat_ranges, slices, sliding_min, span_hashes, texts, window_hashes, word_hashes, word_spans
 
 LAST = (1 << 63) - 1
 
@@ -31,11 +36,11 @@ class Spans:
     window: int = 20  # words
     gram: int = 6  # words of an anchor
     shard_words: int = 50_000  # of one automaton
-    group_most: int = 4096  # segments of an anchor in a shard; more are settled window by window
+    group_most: int = 1024  # segments of an anchor in a shard; more are dealt window by window
 
 
 class Automaton:
-    """A generalised suffix automaton over 64-bit symbols."""
+    """A generalised suffix automaton over words."""
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
@@ -96,10 +101,12 @@ class Automaton:
         return out
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, p: Spans) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, first window, windows, anchor, content) of every segment, slice by slice."""
+def segments(data: np.ndarray, offsets: np.ndarray, p: Spans, seen: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, first window, windows, anchor, content) of every segment, slice by slice; the hashes of
+    each slice's words and the number of each document's go to seen."""
     for a, b, piece, at in slices(data, offsets):
         words, first = word_hashes(piece, at)
+        seen.append((words, np.diff(first)))
         n = len(words) - p.window + 1
         if n < 1:
             continue
@@ -126,9 +133,14 @@ def segments(data: np.ndarray, offsets: np.ndarray, p: Spans) -> Iterator[tuple[
 
 def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        *[F.col(c) for c in keep if c not in ("text",)], text.alias("text_"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at_doc"), F.xxhash64(text).alias("mark")
-    )
+    kept = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
+    return docs.select(*kept, text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at_doc"), F.xxhash64(text).alias("mark"))
+
+
+def _same_words(words: np.ndarray, at: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size words at each place are those at lead."""
+    equal = words[repeat_ranges(at, size)] == words[repeat_ranges(lead, size)]
+    return np.logical_and.reduceat(equal, np.cumsum(size) - size) if len(size) else np.zeros(0, bool)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, p: Spans = Spans()) -> DataFrame:
@@ -138,149 +150,148 @@ def repeats(spark: SparkSession, docs: DataFrame, p: Spans = Spans()) -> DataFra
     doc_id come last, as one.  mark is a hash of the text."""
     python_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _keyed(docs, []).select("at_doc", "mark", F.col("text_").alias("text"))
+    rows = _keyed(docs, [])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments by anchor.  Of equal ones in a batch only the first goes on; the later are settled."""
+        """Segments by anchor.  Of those in a batch with the same words only the first goes on; the later are repeats."""
         for batch in batches:
             at_doc, mark = batch.column("at_doc").to_numpy(), batch.column("mark").to_numpy()
-            got = list(segments(*texts(batch.column("text")), p))
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            got = list(segments(*texts(batch.column("text")), p, seen))
             if not got:
                 continue
+            words, n_words = (np.concatenate(x) for x in zip(*seen, strict=True))
+            begin = np.cumsum(n_words) - n_words
             doc, first, count, anchor, content = (np.concatenate(x) for x in zip(*got, strict=True))
+            order = np.lexsort((mark[doc], first, at_doc[doc], content, anchor))
+            doc, first, count, anchor, content = (x[order] for x in (doc, first, count, anchor, content))
             doc_key = at_doc[doc]
-            order = np.lexsort((first, doc_key, content, anchor))
-            doc, first, count, anchor, content, doc_key = (x[order] for x in (doc, first, count, anchor, content, doc_key))
             new = np.ones(len(doc), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            goes = (doc_key == doc_key[lead]) & (first == first[lead])
+            later = np.flatnonzero((doc_key != doc_key[lead]) | (first != first[lead]))
+            place = begin[doc] + first
+            equal = np.zeros(len(doc), bool)
+            equal[later] = (count[later] == count[lead[later]]) & _same_words(words, place[later], place[lead[later]], np.minimum(count[later], count[lead[later]]) + p.window - 1)
+            again = np.zeros(len(doc), bool)  # rows of one doc_id and text are one
+            again[1:] = ~new[1:] & (doc_key[1:] == doc_key[:-1]) & (first[1:] == first[:-1]) & (mark[doc[1:]] == mark[doc[:-1]])
+            out = ~again
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.astype(np.int64), mask=~goes), pa.array(content.astype(np.int64), mask=~goes), pa.array(doc_key), pa.array(mark[doc]), pa.array(first), pa.array(count)],
+                [pa.array(anchor[out].astype(np.int64), mask=equal[out]), *[pa.array(x[out]) for x in (content.astype(np.int64), doc_key, mark[doc], first, count)]],
                 names=["anchor", "content", "at_doc", "mark", "first", "windows"],
             )
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """By anchor, content and order: later equal segments are repeats (anchor null in the
-        result); what is left of an anchor with several contents is for a shard."""
-        names = ["anchor", "content", "at_doc", "mark", "first", "windows"]
-        held: list[np.ndarray] | None = None  # the last content's first rows, not yet judged
-        shared_before = False
-
-        def judged(cols: list[np.ndarray], final: bool):
-            nonlocal held, shared_before
-            anchor, content, at_doc, mark, first, windows = cols
-            new = np.ones(len(anchor), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            tie = (at_doc == at_doc[lead]) & (first == first[lead])
-            heads = np.flatnonzero(new)
-            same = np.zeros(len(heads), bool)
-            same[1:] |= anchor[heads[1:]] == anchor[heads[:-1]]
-            same[:-1] |= anchor[heads[1:]] == anchor[heads[:-1]]
-            same[0] |= shared_before
-            keep_from = len(anchor)
-            if not final:  # whether the last content's anchor has another is not known yet
-                keep_from = heads[-1]
-                held_rows = tie & (np.arange(len(anchor)) >= keep_from)
-                held = [c[held_rows] for c in cols]
-                shared_before = bool(same[-1])
-            ask = tie & same[np.cumsum(new) - 1] & (np.arange(len(anchor)) < keep_from)
-            out = ask | ~tie
-            if not out.any():
-                return None
-            return pa.RecordBatch.from_arrays(
-                [pa.array(anchor[out], mask=~ask[out]), *[pa.array(c[out]) for c in (at_doc, mark, first, windows)]], names=["anchor", *names[2:]]
-            )
-
-        for batch in batches:
-            loose = batch.column("anchor").is_null().to_numpy(zero_copy_only=False)
-            if loose.any():
-                yield batch.filter(pa.array(loose)).select(["anchor", *names[2:]])
-                batch = batch.filter(pa.array(~loose))
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c).to_numpy() for c in names]
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            got = judged(cols, False)
-            if got is not None:
-                yield got
-        if held is not None:
-            got = judged(held, True)
-            if got is not None:
-                yield got
-
     runs = "at_doc long, mark long, first long, windows long"
-    emitted = rows.mapInArrow(emit, f"anchor long, content long, {runs}")
-    dealt = emitted.repartition(parts, F.coalesce("anchor", F.xxhash64("mark", "first"))).sortWithinPartitions("anchor", "content", "at_doc", "first")
-    settled = materialize(spark, dealt.mapInArrow(settle, f"anchor long, {runs}"), "settled")
-    known = settled.where("anchor IS NULL").drop("anchor")
-    asked = settled.where("anchor IS NOT NULL")
-
-    wanted = asked.groupBy("at_doc", "mark").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("asked"))
-    distinct_rows = rows.join(wanted, ["at_doc", "mark"])
+    emitted = materialize(spark, rows.mapInArrow(emit, f"anchor long, content long, {runs}"), "emitted")
+    known = emitted.where("anchor IS NULL").select("at_doc", "mark", "first", "windows")
+    asked = emitted.where("anchor IS NOT NULL")
+    many = asked.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(spark, asked.join(many, "anchor"), "shared")
+    # an automaton knows no starts: where texts share a doc_id, windows are dealt singly, so that ties stay ties
+    twins = rows.select("at_doc", "mark").distinct().groupBy("at_doc").count().where("count > 1").select("at_doc")
+    tied = shared.join(twins, "at_doc", "left_semi").select("anchor", F.lit(True).alias("tied")).distinct()
+    shared = shared.join(tied, "anchor", "left").withColumn("singly", F.coalesce("tied", F.lit(False)) | (F.col("n") > p.group_most))
+    wanted = shared.groupBy("at_doc", "mark").agg(F.collect_set(F.struct("anchor", "content", "first", "windows", "singly")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of every asked segment, as they stand in the text; of one dealt singly, those of each window."""
         for batch in batches:
-            words, begin = word_hashes(*texts(batch.column("text")))
+            data, offsets = texts(batch.column("text"))
+            start, end, begin = word_spans(data, offsets)
             lists = batch.column("asked")
             per = np.diff(lists.offsets.to_numpy())
             items = lists.flatten()
-            anchor, first, windows = (items.field(c).to_numpy() for c in ("anchor", "first", "windows"))
+            anchor, content, first, windows = (items.field(c).to_numpy() for c in ("anchor", "content", "first", "windows"))
+            singly = items.field("singly").to_numpy(zero_copy_only=False)
             doc = np.repeat(np.arange(batch.num_rows), per)
-            size = windows + p.window - 1
-            flat = words[repeat_ranges(begin[doc] + first, size)]
-            ends = np.concatenate([[0], np.cumsum(size)])
-            content = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(batch.column("at_doc").to_numpy()[doc]), pa.array(batch.column("mark").to_numpy()[doc]), pa.array(first), content],
-                names=["anchor", "at_doc", "mark", "first", "words"],
-            )
+            if singly.any():
+                times = np.where(singly, windows, 1)
+                first = repeat_ranges(first, times)
+                doc, anchor, content, windows, alone = (np.repeat(x, times) for x in (doc, anchor, content, windows, singly))
+                hashes = window_hashes(span_hashes(data, start, end), p.window)
+                key = hashes[(begin[doc] + first)[alone]].astype(np.int64)
+                anchor[alone], content[alone], windows[alone] = key, key, 1
+            at = begin[doc] + first
+            a, b = start[at], end[at + windows + p.window - 2]
+            for lo, hi in _runs(b - a):
+                size = b[lo:hi] - a[lo:hi]
+                raw = pack(data[repeat_ranges(a[lo:hi], size)], np.concatenate([[0], np.cumsum(size)]))
+                d = doc[lo:hi]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(x[lo:hi]) for x in (anchor, content)], pa.array(batch.column("at_doc").to_numpy()[d]), pa.array(batch.column("mark").to_numpy()[d]), pa.array(first[lo:hi]), raw],
+                    names=["anchor", "content", "at_doc", "mark", "first", "words"],
+                )
+
+    held = rows.join(wanted, ["at_doc", "mark"]).mapInArrow(fetch, "anchor long, content long, at_doc long, mark long, first long, words binary")
+    held = materialize(spark, held, "segments")
+    order = F.struct("at_doc", "first", "mark")
+    passages = held.groupBy("anchor", "content").agg(F.min_by(F.struct("at_doc", "first", "mark", "words"), order).alias("p"))
+    passages = materialize(spark, passages.select("anchor", "content", "p.*"), "passages")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Later segments against their passage's first."""
+        for batch in batches:
+            out, (lead, words) = [], (batch.column(c).to_pylist() for c in ("lead", "words"))
+            for i, (x, y) in enumerate(zip(lead, words, strict=True)):
+                if x == y or x.split() == y.split():
+                    out.append((i, 0, len(x.split()) - p.window + 1))
+                else:  # equal hashes of other words
+                    a = Automaton()
+                    a.add(x.split())
+                    out += [(i, first, n) for first, n in _matched(a, y.split(), p.window)]
+            if out:
+                i, first, n = (np.array(x, np.int64) for x in zip(*out, strict=True))
+                cols = [batch.column(c).to_numpy()[i] for c in ("at_doc", "mark", "first")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cols[0], cols[1], cols[2] + first, n)], names=["at_doc", "mark", "first", "windows"])
 
-    held = materialize(spark, distinct_rows.mapInArrow(fetch, "anchor long, at_doc long, mark long, first long, words array<long>"), "segments")
-    counts = asked.groupBy("anchor").count().where(F.col("count") > p.group_most).select("anchor")
-    large = held.join(counts, "anchor", "left_semi")
-    usual = held.join(counts, "anchor", "left_anti")
+    lead = passages.select("anchor", "content", F.struct("at_doc", "first").alias("from"), F.col("words").alias("lead"))
+    later = held.join(lead, ["anchor", "content"]).where(F.struct("at_doc", "first") > F.col("from"))
+    copies = later.select("at_doc", "mark", "first", "words", "lead").mapInArrow(compare, runs)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, anchor, place, mask = Automaton(), None, None, []
+        """Passages by anchor and order: a passage is asked for what earlier ones hold, then added."""
+        automaton, anchor, alone = Automaton(), None, None
         for batch in batches:
             out = []
-            cols = [batch.column(c).to_pylist() for c in ("anchor", "at_doc", "mark", "first", "words")]
-            for key, at_doc, mark, first, words in zip(*cols, strict=True):
+            for key, at_doc, mark, first, words in zip(*[batch.column(c).to_pylist() for c in ("anchor", "at_doc", "mark", "first", "words")], strict=True):
                 if key != anchor:
                     if automaton.words > p.shard_words:
                         automaton = Automaton()
-                    anchor, place, fresh = key, None, True
-                if place != (at_doc, first, words):
-                    place = (at_doc, first, words)
-                    mask = [] if fresh else [i for i, n in enumerate(automaton.statistics(words)[p.window - 1:]) if n >= p.window]
-                    automaton.add(words)
-                    fresh = False
-                start = None
-                for i in [*mask, None]:
-                    if start is not None and i != end:
-                        out.append((at_doc, mark, first + start, end - start))
-                        start = None
-                    if i is not None:
-                        start, end = (i if start is None else start), i + 1
+                    anchor, alone = key, words  # an anchor with one passage asks nothing
+                    continue
+                if alone is not None:
+                    automaton.add(alone.split())
+                    alone = None
+                listed = words.split()
+                out += [(at_doc, mark, first + start, n) for start, n in _matched(automaton, listed, p.window)]
+                automaton.add(listed)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["at_doc", "mark", "first", "windows"])
 
-    matched = usual.repartition(parts, "anchor").sortWithinPartitions("anchor", "at_doc", "first", "mark").mapInArrow(stream, runs)
+    matched = passages.repartition(parts, "anchor").sortWithinPartitions("anchor", "at_doc", "first", "mark").mapInArrow(stream, runs)
+    return known.unionByName(copies).unionByName(matched)
+
+
+def _matched(automaton: Automaton, words: list, window: int) -> list[tuple[int, int]]:
+    """(first, windows) of the runs of windows that the automaton holds whole."""
+    out, start = [], None
+    for i, n in enumerate([*automaton.statistics(words)[window - 1:], 0]):
+        if n >= window:
+            start = i if start is None else start
+        elif start is not None:
+            out.append((start, i - start))
+            start = None
+    return out
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at_doc, mark, first, words in zip(*[batch.column(c).to_pylist() for c in ("at_doc", "mark", "first", "words")], strict=True):
-                h = window_hashes(np.array(words, np.int64).astype(np.uint64), p.window).astype(np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([at_doc] * n), pa.array([mark] * n), pa.array(first + np.arange(n))], names=["window", "at_doc", "mark", "first"])
 
-    single = large.mapInArrow(explode, "window long, at_doc long, mark long, first long")
-    earliest = single.groupBy("window").agg(F.min(F.struct("at_doc", "first")).alias("least"))
-    later = single.join(earliest, "window").where(F.struct("at_doc", "first") > F.col("least")).select("at_doc", "mark", "first", F.lit(1).cast("long").alias("windows"))
-    return known.unionByName(matched).unionByName(later)
+def _runs(sizes: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive runs of about so many bytes."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def remove(spark: SparkSession, docs: DataFrame, keep: list[str], p: Spans = Spans()) -> DataFrame:
@@ -289,12 +300,13 @@ def remove(spark: SparkSession, docs: DataFrame, keep: list[str], p: Spans = Spa
     Words are runs of bytes other than 0x20 and 0x09-0x0D.  A word goes if a window of
     p.window words covers it whose words also start earlier, in the input; kept words are
     joined by one space.  Null and empty texts have no words.  Documents of fewer words than a
-    window stay whole.  Rows that share doc_id and text are treated alike, and neither is
-    earlier than the other.  An empty table gives no rows."""
+    window stay whole; long texts are read whole.  Rows that share doc_id and text are treated alike, and neither is
+    earlier than the other.  Columns of keep that are named as the operator's give way to them;
+    others may have any name.  An empty table gives no rows."""
+    keep = [c for c in keep if c.lower() not in ("n_words", "n_removed", "kept_text", "spans")]
     found = materialize(spark, repeats(spark, docs, p), "repeats")
-    by_doc = found.groupBy("at_doc", "mark").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
-    rows = _keyed(docs, keep).join(by_doc, ["at_doc", "mark"], "left")
-    rows = rows.select(F.struct(*[c for c in keep if c != "text"]).alias("kept"), F.col("text_").alias("text"), "runs")
+    by_doc = found.groupBy("at_doc", "mark").agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
+    rows = _keyed(docs, keep).join(by_doc, ["at_doc", "mark"], "left").select("kept", "text", "runs")
     kept_type = rows.schema["kept"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -154,6 +154,32 @@ def test_op3_removes_what_starts_earlier(spark, docs, limits):
     assert got == windows_removed(rows_of(docs))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op3_shared_ids_and_hot_passages(spark, seed):
+    """Texts that share ids or have none, copies of them, a passage in most of them at changing places, periodic texts."""
+    rng = np.random.default_rng(seed)
+    passage = [f"p{i}" for i in range(45)]
+    rows = []
+    for i in range(150):
+        own = lambda n: [f"{x}" for x in rng.integers(0, 3 if i % 7 == 0 else 10_000, n)]  # noqa: E731, B023
+        words = own(int(rng.integers(0, 40)))
+        if i % 3:
+            words = words + passage[: int(rng.integers(25, 46))] + own(int(rng.integers(0, 30)))
+        rows.append((None if i % 11 == 0 else int(rng.integers(0, 60)), "  ".join(words) if i % 5 else "\n".join(words)))
+    rows += rows[20:40] + [(i and i + 100, t) for i, t in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for limits in (suffix.Spans(), suffix.Spans(shard_words=60, group_most=3)):
+        got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in suffix.remove(spark, df, ["doc_id"], limits).collect())
+        assert got == windows_removed(rows)
+
+
+def test_op3_names_that_clash(spark, sample):
+    named = sample.selectExpr("doc_id", "text", "1 AS n_words", "2 AS anchor", "3 AS runs", "4 AS at_doc")
+    got = suffix.remove(spark, named, ["doc_id", "n_words", "anchor", "runs", "at_doc"])
+    assert got.columns == ["doc_id", "anchor", "runs", "at_doc", "n_words", "n_removed", "kept_text", "spans"]
+    assert got.where("anchor = 2 AND runs = 3 AND at_doc = 4").count() == sample.count()
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=25), max_size=5), st.lists(st.integers(0, 2), max_size=25))
 def test_automaton_statistics(known, query):
