@@ -1,15 +1,17 @@
 """Token ids in a binary file format with Re-Pair grammar compression.
 
-A shard is a run of whole documents in ascending doc_id order.  Its frequent id
-pairs become nonterminals, round after round; the shard stores the rules, the
-length that each expands to, and the symbols that are left.  One row of the
-files is one shard, so a document, or a part of one, is read without decoding
-the rest of its shard.
-
-Payload, all little-endian: 6 uint32 (format, width of a symbol in bytes,
-documents, rules, symbols, first nonterminal), then as uint32 the ids of each
-document, its symbols, the expansion length of each rule, and then, as symbols,
-the left and right sides of the rules and the symbols of the documents.
+A shard is a run of whole documents in ascending doc_id order.  Its repeated id pairs
+become nonterminals, round after round, until no pair occurs MIN_COUNT times; the shard
+stores the rules, the length that each expands to, and the symbols that are left.  A round
+takes all such pairs at once: where two overlap the more frequent goes first, and a run of
+one id is paired off from its left end, so a run of n ids takes about log n rules.  One row
+of the files is one shard, so a document, or a part of one, is read without decoding the
+rest of its shard.
+
+Payload, all little-endian: 7 uint32 (format, bits of a symbol, bytes of an expansion
+length, documents, rules, symbols, first nonterminal), then as uint32 the ids and the
+symbols of each document, then the expansion length of each rule, and then, in so many
+bits each, the left and right sides of the rules and the symbols of the documents.
 """
 
 from __future__ import annotations
@@ -26,18 +28,19 @@ from millrace.llm.common import python_batches, range_id, ranges, write_table
 from millrace.llm.kernels import mix, pack, packed, repeat_ranges, texts
 from millrace.llm.tokens import encoder
 
-FORMAT = 0x52505231
+FORMAT = 0x52505232
 #: Ids of a shard (a longer document is a shard of its own), and what a pair must count to get a rule.
-SHARD_IDS, MIN_COUNT, ROUNDS, RULES_A_ROUND = 1 << 18, 6, 12, 4096
+SHARD_IDS, MIN_COUNT = 1 << 18, 2
 _HASH_BITS = 18
+LEAST = -(1 << 63)
 
 
-def _frequent(keys: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that count least or more, at most so many, the most frequent first; and the places
-    where one of them can be.  Ties go by a hash of the pair: neighbours of equal count then yield to
-    each other at random places, not all in a row.
+def _repeated(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that count least or more, the most frequent first; and the places where one of them
+    can be.  Ties go by a hash of the pair: neighbours of equal count then yield to each other at
+    random places, not all in a row.
 
-    A table of hashed counts first sets aside what can't be frequent; the rest is counted exactly."""
+    A table of hashed counts first sets aside what can't repeat; the rest is counted exactly."""
     bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
     places = np.flatnonzero((np.bincount(bucket, minlength=1 << _HASH_BITS) >= least)[bucket])
     maybe = np.sort(keys[places])
@@ -47,47 +50,66 @@ def _frequent(keys: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.n
     count = np.diff(np.append(first, len(maybe)))
     keep = count >= least
     pairs, count = maybe[first[keep]], count[keep]
-    return pairs[np.lexsort((mix(pairs), -count))][:most], places
+    return pairs[np.lexsort((mix(pairs), -count))], places
+
+
+def _second(seq: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which places are pairs of one symbol with itself; and which of these overlap the one before, counting a
+    run's places from its left end."""
+    same = np.zeros(len(seq), bool)
+    same[:-1] = (seq[:-1] == seq[1:]) & inner[:-1]
+    at = np.flatnonzero(same)
+    start = at[np.maximum.accumulate(np.where(np.append(True, np.diff(at) > 1), np.arange(len(at)), 0))] if len(at) else at
+    odd = np.zeros(len(seq), bool)
+    odd[at[(at - start) % 2 == 1]] = True
+    return same, odd
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, symbols of each document, rules (left, right), first nonterminal.
 
-    No pair reaches over the end of a document.  Of two pairs that overlap, the more
-    frequent one is replaced."""
+    No pair reaches over the end of a document."""
     seq = ids.astype(np.uint32)
     base = int(seq.max(initial=0)) + 1
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
-    rules: dict[int, int] = {}
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        inner = np.flatnonzero(~last[:-1])
-        pairs, places = _frequent(keys[inner], MIN_COUNT, RULES_A_ROUND)
+    live = ~last  # places whose pair may repeat: one that doesn't never will, but for new neighbours
+    rules: list[np.ndarray] = []
+    n_rules = 0
+    while True:
+        same, overlaps = _second(seq, ~last)
+        at = np.flatnonzero((live | same) & ~overlaps)
+        keys = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        pairs, places = _repeated(keys, MIN_COUNT)
         if not len(pairs):
             break
-        places = inner[places]
+        at, keys = at[places], keys[places]
         order = np.argsort(pairs)
         by_key = pairs[order]
-        found = np.minimum(np.searchsorted(by_key, keys[places]), len(by_key) - 1)
-        rank = np.full(len(keys) + 2, len(pairs))
-        rank[places + 1] = np.where(by_key[found] == keys[places], order[found], len(pairs))
-        here = (rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:]) & (rank[1:-1] < len(pairs))
-        at = np.flatnonzero(here)
-        used, which = np.unique(rank[1:-1][at], return_inverse=True)
-        numbers = np.array([rules.setdefault(int(p), len(rules)) for p in pairs[used]], np.uint32)
-        seq[at] = base + numbers[which]
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-    sides = np.array(list(rules), np.uint64)
+        found = np.minimum(np.searchsorted(by_key, keys), len(by_key) - 1)
+        hit = by_key[found] == keys
+        at = at[hit]
+        rank = np.full(len(seq) + 2, len(pairs))  # of a place, one on; the best pair meets no better neighbour, so it gets all its places
+        rank[at + 1] = order[found[hit]]
+        live = rank[1:-1] < len(pairs)
+        taken = at[(rank[at + 1] < rank[at]) & (rank[at + 1] < rank[at + 2])]
+        rank = rank[1:]
+        enough = taken[np.bincount(rank[taken], minlength=len(pairs))[rank[taken]] >= MIN_COUNT]
+        used, which = np.unique(rank[enough], return_inverse=True)
+        rules.append(pairs[used])
+        seq[enough] = base + n_rules + which
+        n_rules += len(used)
+        last[enough] = last[enough + 1]
+        live[enough] = True
+        live[np.maximum(enough - 1, 0)] = True
+        gone = np.zeros(len(seq), bool)
+        gone[enough + 1] = True
+        seq, last, live = seq[~gone], last[~gone], live[~gone] & ~last[~gone]
+    sides = np.concatenate(rules) if rules else np.empty(0, np.uint64)
     left, right = (sides >> np.uint64(32)).astype(np.uint32), sides.astype(np.uint32)
     symbols = np.zeros(len(sizes), np.int64)
     symbols[sizes > 0] = np.diff(np.concatenate([[-1], np.flatnonzero(last)]))
-    return seq, symbols, np.stack([left, right]) if len(rules) else np.zeros((2, 0), np.uint32), base
+    return seq, symbols, np.stack([left, right]), base
 
 
 def _expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -97,68 +119,74 @@ def _expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _bits(values: np.ndarray, width: int) -> bytes:
+    """width bits of each value, the lowest first, end to end."""
+    out = np.empty((len(values), width), np.uint8)
+    for i in range(width):
+        out[:, i] = values >> i & 1
+    return np.packbits(out.ravel(), bitorder="little").tobytes()
+
+
+def _from_bits(data: np.ndarray, first: int, count: int, width: int) -> np.ndarray:
+    """count values from the first-th on; reads only the bytes that hold them."""
+    start = first * width
+    raw = np.unpackbits(data[start // 8:(start + count * width + 7) // 8], bitorder="little")[start % 8:start % 8 + count * width].reshape(count, width)
+    out = np.zeros(count, np.int64)
+    for i in range(width):
+        out |= raw[:, i].astype(np.int64) << i
+    return out
+
+
 def write_shard(ids: np.ndarray, sizes: np.ndarray) -> bytes:
     seq, symbols, rules, base = compress(ids, sizes)
-    width = 2 if base + rules.shape[1] <= 1 << 16 else 4
-    kind = "<u2" if width == 2 else "<u4"
-    head = np.array([FORMAT, width, len(sizes), rules.shape[1], len(seq), base], "<u4")
-    numbers = np.concatenate([sizes, symbols, _expansion_lengths(rules, base)]).astype("<u4")
-    return head.tobytes() + numbers.tobytes() + rules.astype(kind).tobytes() + seq.astype(kind).tobytes()
+    width = max(1, int(base + rules.shape[1] - 1).bit_length())
+    lengths = _expansion_lengths(rules, base)
+    wide = 1 if lengths.max(initial=0) < 1 << 8 else 2 if lengths.max(initial=0) < 1 << 16 else 4
+    head = np.array([FORMAT, width, wide, len(sizes), rules.shape[1], len(seq), base], "<u4")
+    numbers = np.concatenate([sizes, symbols]).astype("<u4")
+    return head.tobytes() + numbers.tobytes() + lengths.astype(f"<u{wide}").tobytes() + _bits(rules.ravel(), width) + _bits(seq, width)
 
 
 class Shard:
     """Reads a payload; documents, and parts of them, decode by themselves."""
 
     def __init__(self, payload: bytes):
-        head = np.frombuffer(payload, "<u4", 6)
+        head = np.frombuffer(payload, "<u4", 7)
         if int(head[0]) != FORMAT:
             raise ValueError("not a shard of this format")
-        width, docs, n_rules, n_symbols, self.base = (int(x) for x in head[1:])
-        numbers = np.frombuffer(payload, "<u4", 2 * docs + n_rules, 24).astype(np.int64)
-        at = 24 + 4 * len(numbers)
-        kind = "<u2" if width == 2 else "<u4"
-        self.rules = np.frombuffer(payload, kind, 2 * n_rules, at).reshape(2, n_rules).astype(np.int64)
-        self.symbols = np.frombuffer(payload, kind, n_symbols, at + 2 * n_rules * width).astype(np.int64)
-        self.sizes, count, self.lengths = numbers[:docs], numbers[docs:2 * docs], numbers[2 * docs:]
+        self.width, wide, docs, n_rules, self.n_symbols, self.base = (int(x) for x in head[1:])
+        numbers = np.frombuffer(payload, "<u4", 2 * docs, 28).astype(np.int64)
+        at = 28 + 4 * len(numbers)
+        self.lengths = np.frombuffer(payload, f"<u{wide}", n_rules, at).astype(np.int64)
+        at += wide * n_rules
+        data = np.frombuffer(payload, np.uint8)
+        self.rules = _from_bits(data[at:], 0, 2 * n_rules, self.width).reshape(2, n_rules)
+        self.data = data[at + (2 * n_rules * self.width + 7) // 8:]
+        self.sizes, count = numbers[:docs], numbers[docs:]
         self.first = np.concatenate([[0], np.cumsum(count)])
-        self.texts: np.ndarray | None = None
-
-    def _expansions(self) -> None:
-        """All rules' ids end to end; a rule's sides are ids or earlier rules."""
-        self.begin = np.cumsum(self.lengths) - self.lengths
-        flat = np.zeros(int(self.lengths.sum()), np.uint32)
-        begin, length, base = self.begin.tolist(), self.lengths.tolist(), self.base
-        for r, (a, b) in enumerate(self.rules.T.tolist()):
-            at = begin[r]
-            for side in (a, b):
-                if side < base:
-                    flat[at] = side
-                    at += 1
-                else:
-                    k = side - base
-                    flat[at:at + length[k]] = flat[begin[k]:begin[k] + length[k]]
-                    at += length[k]
-        self.texts = flat
+
+    def symbols(self, first: int, end: int) -> np.ndarray:
+        return _from_bits(self.data, first, end - first, self.width)
 
     def _decode(self, symbols: np.ndarray) -> np.ndarray:
-        if self.texts is None:
-            self._expansions()
-        rule = symbols - self.base
-        plain = rule < 0
-        if not len(self.lengths):
-            return symbols.astype(np.uint32)
-        rule = np.maximum(rule, 0)
-        size = np.where(plain, 1, self.lengths[rule])
-        source = np.concatenate([self.texts, symbols[plain].astype(np.uint32)])
-        start = np.where(plain, len(self.texts) + np.cumsum(plain) - 1, self.begin[rule])
-        return source[repeat_ranges(start, size)]
+        """The ids of the symbols: rules are put in until only ids are left; no others are looked at."""
+        while True:
+            rule = symbols >= self.base
+            if not rule.any():
+                return symbols.astype(np.uint32)
+            at = np.arange(len(symbols)) + np.cumsum(rule) - rule
+            out = np.empty(len(symbols) + int(rule.sum()), np.int64)
+            out[at] = symbols
+            sides = self.rules[:, symbols[rule] - self.base]
+            out[at[rule]], out[at[rule] + 1] = sides
+            symbols = out
 
     def all_ids(self) -> np.ndarray:
-        return self._decode(self.symbols)
+        return self._decode(self.symbols(0, self.n_symbols))
 
     def ids(self, doc: int, start: int = 0, end: int | None = None) -> np.ndarray:
-        """ids[start:end] of one document; only the symbols that cover them are expanded."""
-        symbols = self.symbols[self.first[doc]:self.first[doc + 1]]
+        """ids[start:end] of one document; only the symbols that cover them, and the rules they reach, are expanded."""
+        symbols = self.symbols(int(self.first[doc]), int(self.first[doc + 1]))
         end = int(self.sizes[doc]) if end is None else min(end, int(self.sizes[doc]))
         if start >= end:
             return np.empty(0, np.uint32)
@@ -200,11 +228,12 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0)
             nonlocal number, start, held, size
             ids, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             doc_ids = pa.concat_arrays([h[2] for h in held])
-            row = [[part], [number], [start], [len(ids)], [doc_ids.to_pylist()], [write_shard(ids, sizes)]]
+            known = [x for x in doc_ids.to_pylist() if x is not None]
+            row = [[part], [number], [start], [len(ids)], [min(known, default=None)], [max(known, default=None)], [doc_ids.to_pylist()], [write_shard(ids, sizes)]]
             number, start, held, size = number + 1, start + len(ids), [], 0
             return pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)],
-                names=["part", "shard", "start_in_part", "n_ids", "doc_ids", "payload"],
+                [pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary()), strict=True)],
+                names=["part", "shard", "start_in_part", "n_ids", "first_doc", "last_doc", "doc_ids", "payload"],
             )
 
         for batch in batches:
@@ -233,10 +262,35 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0)
 
     encoded = rows.withColumn("part", range_id("doc_id", splits).cast("int")).mapInArrow(encode, "part int, doc_id long, ids binary")
     dealt = encoded.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
-    made = dealt.mapInArrow(shards, "part int, shard int, start_in_part long, n_ids long, doc_ids array<long>, payload binary")
+    made = dealt.mapInArrow(shards, "part int, shard int, start_in_part long, n_ids long, first_doc long, last_doc long, doc_ids array<long>, payload binary")
     return write_table(spark, made, "shards")
 
 
+def fetch(spark: SparkSession, path: str, doc_ids: list[int], start: int = 0, end: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids[start:end] of the documents with these doc_ids, from the files at path.
+
+    Only shards whose range of doc_ids holds one of them are read, and of these only the symbols that
+    cover the asked ids are decoded.  Rows that share a doc_id all come; an unknown one gives no row."""
+    python_batches(spark)
+    wanted = sorted(set(doc_ids))
+    shards = spark.read.parquet(path)
+    holds = F.lit(False)
+    for i in wanted:
+        holds |= (F.col("first_doc") <= i) & (F.col("last_doc") >= i)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                known = np.array([LEAST if x is None else x for x in batch.column("doc_ids")[row].as_py()], np.int64)
+                at = np.flatnonzero(np.isin(known, wanted))
+                if len(at):
+                    shard = Shard(batch.column("payload")[row].as_py())
+                    got = [shard.ids(int(i), start, end).tolist() for i in at]
+                    yield pa.RecordBatch.from_arrays([pa.array(known[at]), pa.array(shard.sizes[at]), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "n_tokens", "ids"])
+
+    return shards.where(holds).select("doc_ids", "payload").mapInArrow(pick, "doc_id long, n_tokens long, ids array<long>")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files at path."""
     python_batches(spark)

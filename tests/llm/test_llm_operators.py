@@ -70,9 +70,58 @@ def test_grammar_round_trip(docs_):
         assert shard.ids(i, 2, len(d) // 2 + 2).tolist() == d[2:len(d) // 2 + 2]
 
 
-def test_grammar_compresses():
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=60), max_size=5))
+def test_grammar_goes_on_until_no_pair_repeats(docs_):
+    ids, sizes = np.array([x for d in docs_ for x in d], np.uint32), np.array([len(d) for d in docs_], np.int64)
+    seq, symbols, _, _ = grammar.compress(ids, sizes)
+    count, at = Counter(), 0
+    for n in symbols.tolist():
+        d, before = seq[at:at + n].tolist(), None
+        for i, pair in enumerate(zip(d, d[1:], strict=False)):  # of a run of three only one
+            if pair == before and d[i - 1] == d[i]:
+                before = None
+                continue
+            before = pair
+            count[pair] += 1
+        at += n
+    assert max(count.values(), default=0) < grammar.MIN_COUNT
+
+
+def test_grammar_of_runs_and_passages():
+    one = lambda ids: grammar.compress(np.array(ids, np.uint32), np.array([len(ids)]))
+    assert len(one([7] * 20_000)[0]) < 64 and one([7] * 20_000)[2].shape[1] < 20
+    assert len(one([3, 9] * 10_000)[0]) < 64
+    rng = np.random.default_rng(0)
+    passage = rng.integers(0, 50_000, 2000).tolist()
+    seq, _, rules, base = one(passage + [60_001] + passage)
+    assert len(seq) == 3 and seq[0] == seq[2] >= base and grammar._expansion_lengths(rules, base)[seq[0] - base] == 2000
     ids = np.tile(np.arange(50, dtype=np.uint32), 200)
-    assert len(grammar.compress(ids, np.array([len(ids)]))[0]) < len(ids) / 8
+    assert len(one(ids)[0]) < len(ids) / 100
+
+
+def test_shard_decodes_only_what_is_asked():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 9, 5000).astype(np.uint32)
+    shard = grammar.Shard(grammar.write_shard(ids, np.array([2500, 0, 2500])))
+    shard.rules = shard.rules.copy()
+    reached, stack = set(), shard.symbols(0, int(shard.first[1])).tolist()
+    while stack:
+        s = stack.pop()
+        if s >= shard.base and s not in reached:
+            reached.add(s)
+            stack += shard.rules[:, s - shard.base].tolist()
+    others = [r for r in range(shard.rules.shape[1]) if r + shard.base not in reached]
+    shard.rules[:, others] = 1 << 40  # would fail if they were looked at
+    assert others and shard.ids(0).tolist() == ids[:2500].tolist() and shard.ids(1).tolist() == []
+
+
+def test_op1_reads_single_documents(spark, docs, library):
+    path = grammar.write(spark, docs, tokenizer_path())
+    want = [(i, ids_of(library, t)) for i, t in rows_of(docs)]
+    asked = sorted({i for i, _ in want if i is not None})[:6] + [10**9]
+    got = Counter((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in grammar.fetch(spark, path, asked, 2, 50).collect())
+    assert got == Counter((i, len(x), tuple(x[2:50])) for i, x in want if i in asked)
 
 
 def test_op1_files(spark, docs, library):
