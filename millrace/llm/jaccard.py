@@ -279,13 +279,19 @@ def join(spark: SparkSession, docs: DataFrame, keep: list[str], forest: Forest =
     drop_table(spark, entries)
     groups = materialize(spark, components(spark, opened.where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()), "groups")
 
-    # blocks: the classes that share their longest prefixes with one class, or so many parts of them as they fill
-    family = opened.groupBy("node").agg(F.min("leaf").alias("family"))
+    # blocks: a family, the classes that share their longest prefixes with one class, in as many as it fills; small
+    # families share blocks with those that they meet first in an open group
+    family = opened.groupBy("node").agg(F.min("leaf").alias("family"), F.min("head").alias("near"))
     member = groups.select("node").join(family, "node").join(classes.select("node", "size"), "node").join(signed.select(F.col("row").alias("node"), "n_bytes"), "node")
-    load = member.groupBy("family").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs"))
-    fill = load.select("family", F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int").alias("blocks"))
-    block = F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    member = materialize(spark, member.join(fill, "family").select("node", "size", block.alias("block")), "members")
+    member = materialize(spark, member, "families")
+    fill = lambda share: F.greatest(F.ceil(F.sum("bytes") / (BLOCK_BYTES * share)), F.ceil(F.sum("docs") / (BLOCK_DOCS * share)), F.lit(1)).cast("int")
+    load = member.groupBy("family").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs"), F.min("near").alias("near"))
+    small = (F.col("bytes") * 2 < BLOCK_BYTES) & (F.col("docs") * 2 < BLOCK_DOCS)
+    load = load.withColumn("small", small).withColumn("near", F.when(F.col("small"), F.col("near")).otherwise(F.col("family")))
+    shares = load.groupBy("near", "small").agg(F.when(F.col("small"), fill(0.5)).otherwise(fill(1)).alias("blocks"))
+    dealt_to = load.join(shares, ["near", "small"]).select("family", "near", "small", "blocks")
+    block = F.xxhash64("near", "small", F.pmod(F.xxhash64(F.when(F.col("small"), F.col("family")).otherwise(F.col("node"))), F.col("blocks")))
+    member = materialize(spark, member.drop("near").join(dealt_to, "family").select("node", "size", block.alias("block")), "members")
     held = opened.select("node", "group").join(member.select("node", "block"), "node").select("group", "block").distinct()
     held = materialize(spark, held, "held")
     meet = held.withColumnRenamed("block", "a").join(held.withColumnRenamed("block", "b"), "group").where("a <= b").select("a", "b").distinct()
