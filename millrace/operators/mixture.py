@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.runs import in_blocks
+
 #: Lanes in tie-break order, headline shares, floors, and the stages' fraction, warmup and shares by lane.
 LANES = ["general_web", "code", "indic", "stem_math", "reasoning", "long_context", "agentic"]
 HEADLINE = dict(zip(LANES, [0.34, 0.24, 0.16, 0.12, 0.06, 0.06, 0.02], strict=True))
@@ -103,12 +105,13 @@ def shares_table(spark: SparkSession, schedule: Schedule) -> DataFrame:
 def thresholds(scores: DataFrame, by: str = "lane") -> DataFrame:
     """Adds thr to (slot, cand, score): the keep percentile of the last BUFFER scores of earlier slots;
     null until WARM are seen.  Two candidates of a slot share a threshold."""
-    run = Window.partitionBy(by).orderBy("seq")
-    seen = scores.withColumn("seq", F.col("slot") * 2 + F.col("cand"))
-    frame = run.rowsBetween(-BUFFER, -1)
-    first = seen.where("cand = 0 OR cand = 1").withColumns({"p": F.percentile("score", F.lit(KEEP_PERCENTILE)).over(frame), "n": F.count("*").over(frame)})
-    slot = first.where("cand = 0").select(by, "slot", F.when(F.col("n") >= WARM, F.col("p")).alias("thr"))
-    return seen.join(slot, [by, "slot"])
+    seen = in_blocks(scores.withColumn("seq", F.col("slot") * 2 + F.col("cand") + 1), "seq", back=BUFFER)
+    frame = Window.partitionBy(by, "block").orderBy("seq").rowsBetween(-BUFFER, -1)
+    past = seen.withColumns({"p": F.percentile("score", F.lit(KEEP_PERCENTILE)).over(frame), "n": F.count("*").over(frame)}).where("own")
+    # a slot's two candidates lie next to each other in one block; both take what the first one sees
+    thr = F.when(F.col("n") >= WARM, F.col("p"))
+    pair = Window.partitionBy(by, "block").orderBy("seq")
+    return past.withColumn("thr", F.when(F.col("cand") == 0, thr).otherwise(F.lag(thr).over(pair))).drop("p", "n", "block", "own")
 
 
 def decide(rows: DataFrame) -> DataFrame:

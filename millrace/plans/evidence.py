@@ -11,6 +11,7 @@ from millrace.operators import ledger as L
 from millrace.operators import mixture as M
 from millrace.operators import packing as P
 from millrace.operators import shards as S
+from millrace.operators.runs import in_blocks, numbered
 from millrace.sources.tables import table
 
 
@@ -96,7 +97,7 @@ def evidence_bundle(spark, d):
     return evidence_learning(spark, d).agg(F.bool_and("passed").alias("passed"), F.count("*").alias("checks"), F.count_if("passed").alias("passing"))
 
 
-@query("reconcile_lists", "SELECT coalesce(a.doc_id, b.item_id) AS id, CASE WHEN b.item_id IS NULL THEN 'missing_right' WHEN a.doc_id IS NULL THEN 'missing_left' WHEN length(a.text) <> length(b.text) THEN 'differs' ELSE 'same' END AS finding FROM (SELECT doc_id, text FROM documents WHERE doc_id < 60) a FULL JOIN (SELECT item_id + 30 AS item_id, text FROM benchmark) b ON a.doc_id = b.item_id")
+@query("reconcile_lists", "SELECT coalesce(a.doc_id, b.item_id) AS id, CASE WHEN b.item_id IS NULL THEN 'missing_right' WHEN a.doc_id IS NULL THEN 'missing_left' WHEN length(a.text) <> length(b.text) THEN 'differs' ELSE 'same' END AS finding FROM documents a FULL JOIN (SELECT item_id + 30 AS item_id, text FROM benchmark) b ON a.doc_id = b.item_id")
 def reconcile_lists(spark, d):
     """Two lists by key: what either lacks, and what differs."""
     a = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("x"))
@@ -109,16 +110,16 @@ def reconcile_lists(spark, d):
 def chronology_check(spark, d):
     """Neighbours in order, at the coarser of two dates' precisions."""
     day = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
-    p = table(spark, d, "events").select("event_id", day.alias("d")).withColumn("b", F.lag("d").over(Window.orderBy("event_id"))).where("b IS NOT NULL")
+    dated = in_blocks(numbered(table(spark, d, "events").select("event_id", day.alias("d")), [], ["event_id"]), back=1)
+    p = dated.withColumn("b", F.lag("d").over(Window.partitionBy("block").orderBy("i"))).where("own AND b IS NOT NULL")
     k = F.least(F.length("d"), F.length("b"))
     one = F.lit(1)
     return p.agg(F.count("*").alias("pairs"), F.count_if(F.substring(F.col("d"), one, k) < F.substring(F.col("b"), one, k)).alias("out_of_order"))
 
 
-@query("fetch_batches", "SELECT CAST((r - 1) // 12 AS BIGINT) AS batch, count(*) AS ids, min(doc_id) AS first_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE doc_id % 5 = 0) GROUP BY 1")
+@query("fetch_batches", "SELECT CAST((r - 1) // 12 AS BIGINT) AS batch, count(*) AS ids, min(doc_id) AS first_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) GROUP BY 1")
 def fetch_batches(spark, d):
-    r = F.row_number().over(Window.orderBy("doc_id"))
-    ids = table(spark, d, "documents").select("doc_id", F.floor((r - 1) / 12).alias("batch"))
+    ids = numbered(table(spark, d, "documents").select("doc_id"), [], ["doc_id"]).select("doc_id", F.floor((F.col("i") - 1) / 12).alias("batch"))
     return ids.groupBy("batch").agg(F.count("*").alias("ids"), F.min("doc_id").alias("first_id"))
 
 
@@ -158,7 +159,7 @@ def stride_sample(spark, d):
     return r.where("rn % 100 = 0 OR back = 1").select("event_id", "event_type")
 
 
-@query("batch_anatomy", cte(packing.TOKENS, "SELECT arg_max(seq, segments * 100000 - seq) AS most_segments, arg_max(seq, context * 100000 - seq) AS most_context FROM (SELECT seq, count(DISTINCT segment_id) FILTER (segment_id >= 0) AS segments, count(*) FILTER (segment_id >= 0 AND NOT loss_mask) AS context FROM p GROUP BY seq)"))
+@query("batch_anatomy", cte(packing.TOKENS, "SELECT arg_max(seq, segments::HUGEINT * 4611686018427387904 - seq) AS most_segments, arg_max(seq, context::HUGEINT * 4611686018427387904 - seq) AS most_context FROM (SELECT seq, count(DISTINCT segment_id) FILTER (segment_id >= 0) AS segments, count(*) FILTER (segment_id >= 0 AND NOT loss_mask) AS context FROM p GROUP BY seq)"))
 def batch_anatomy(spark, d):
     p = P.positions(packing.token_rows(spark, d))
     used = F.col("segment_id") >= 0

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import codecs as C
 from millrace.operators import rules as R
+from millrace.operators.runs import numbered
 from millrace.plans import cleaning, codecs, ledger
 from millrace.plans.base import both, query
 from millrace.session import importable
@@ -61,13 +61,13 @@ both("micro_batches", "events", "SELECT b AS micro, count(*) AS n, round(avg(val
 def zipf_sample(spark, d):
     """A hundred draws by frequency: inverse running sums, draws broadcast (a fixed number)."""
     t = codecs.tokens(spark, d)
-    order = Window.orderBy(F.col("n").desc(), "token")
-    c = t.withColumns({"upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(Window.partitionBy())})
+    total = F.broadcast(t.agg(F.sum("n").alias("total")))  # one row
+    c = numbered(t, [], [F.col("n").desc(), F.col("token")], "upto", add="n").crossJoin(total)
     draws = spark.range(100).select(F.col("id").alias("draw"), F.conv(F.substring(F.md5(F.concat(F.lit("z"), "id")), 1, 7), 16, 10).cast("long").alias("u"))
     return c.join(F.broadcast(draws), F.expr("u % total >= upto - n AND u % total < upto")).select("draw", "token")
 
 
-@query("relatedness", f"SELECT round(min({codecs.COS}) FILTER (a.label = b.label), 6) AS least_related, round(max({codecs.COS}) FILTER (a.label <> b.label), 6) AS most_unrelated FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 50 = 0")
+@query("relatedness", f"SELECT round(min({codecs.COS}) FILTER (a.label = b.label), 6) AS least_related, round(max({codecs.COS}) FILTER (a.label <> b.label), 6) AS most_unrelated FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def relatedness(spark, d):
     """Whether relatives are closer than strangers: the extreme cosines of all pairs, block by block."""
     return C.extreme_cosines(codecs.unit_vectors(spark, d)).select(F.round("least_same", 6).alias("least_related"), F.round("most_other", 6).alias("most_unrelated"))

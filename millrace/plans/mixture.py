@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import mixture as O
+from millrace.operators.runs import numbered
 from millrace.plans.base import query
 from millrace.sources.tables import table
 
@@ -84,9 +85,7 @@ DECIDED = f"{THR}, k AS (SELECT *, CASE WHEN thr IS NULL OR score >= thr THEN 'a
 
 
 def scores(spark, d):
-    from pyspark.sql import Window
-
-    e = table(spark, d, "events").withColumn("seq", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1)
+    e = numbered(table(spark, d, "events"), ["event_type"], ["event_id"]).withColumn("seq", F.col("i") - 1)
     slot = F.floor(F.col("seq") / 2)
     return e.select(
         F.col("event_type").alias("lane"), slot.alias("slot"), (F.col("seq") % 2).alias("cand"), F.col("value").alias("score"),

@@ -11,8 +11,9 @@ from millrace.sources.tables import table
 NW = r"CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS BIGINT)"
 UNITS = f"u AS (SELECT doc_id // 8 AS seq, doc_id AS unit, {NW} AS n FROM documents)"
 TURN = f"t AS (SELECT conv_id AS sample, turn, role = 'assistant' AS is_target, {NW} AS n FROM conversations)"
-TOKENS = f"""{TURN}, o AS (SELECT *, CAST(sum(n) OVER (PARTITION BY sample ORDER BY turn) AS BIGINT) AS e FROM t),
-k AS (SELECT sample AS seq, CAST(e - n + i AS BIGINT) AS pos, CASE WHEN e - n + i < 200 THEN CAST(turn // 2 AS BIGINT) ELSE -1 END AS segment_id, is_target FROM o, range(0, 4000) AS r(i) WHERE i < n AND e - n + i < 256),
+TOKENS = f"""{TURN}, o AS (SELECT *, CAST(sum(n) OVER (PARTITION BY sample ORDER BY turn) AS BIGINT) AS e, CAST(sum(n) OVER (PARTITION BY sample) AS BIGINT) AS total FROM t),
+i AS (SELECT *, unnest(range(e - n, CASE WHEN e = total THEN (e + 255) // 256 * 256 ELSE e END)) AS i FROM o WHERE n > 0),
+k AS (SELECT sample * 16777216 + i // 256 AS seq, i % 256 AS pos, CASE WHEN i < e THEN CAST(turn // 2 AS BIGINT) ELSE -1 END AS segment_id, is_target AND i < e AS is_target FROM i),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY seq, segment_id ORDER BY pos) - 1 AS INTEGER) AS position_id,
   coalesce(lead(is_target) OVER (PARTITION BY seq ORDER BY pos) AND lead(segment_id) OVER (PARTITION BY seq ORDER BY pos) = segment_id AND segment_id >= 0, false) AS loss_mask FROM k)"""
 #: Words of a sequence; and the bits of seq that number the windows of one conversation.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.operators.runs import in_blocks, numbered
 from millrace.plans.base import both, query
 from millrace.sources.tables import table
 
@@ -13,17 +14,17 @@ S = "s AS (SELECT event_type AS series, event_id, value, row_number() OVER (PART
 
 
 def series(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return table(spark, d, "events").select(F.col("event_type").alias("series"), "event_id", "value", F.row_number().over(w).alias("i"))
+    return numbered(table(spark, d, "events").select(F.col("event_type").alias("series"), "event_id", "value"), ["series"], ["event_id"])
 
 
 def spikes(df, k: float = 3.5, window: int = 20):
     """Values more than k median absolute deviations above the trailing median (the upper one, as is).
 
-    Both medians come from the row's own frame, an array of `window` values."""
-    frame = Window.partitionBy("series").orderBy("i").rowsBetween(-window, -1)
+    Both medians come from the row's own frame, an array of `window` values, in blocks of the series."""
+    frame = Window.partitionBy("series", "block").orderBy("i").rowsBetween(-window, -1)
     upper = lambda a: F.element_at(F.array_sort(a), F.expr("CAST(size(past) div 2 + 1 AS INT)"))
-    seen = df.withColumn("past", F.collect_list("value").over(frame)).where(F.size("past") == window)
+    blocks = in_blocks(df, back=window)
+    seen = blocks.withColumn("past", F.collect_list("value").over(frame)).where("own").where(F.size("past") == window).drop("block", "own")
     mid = seen.withColumn("m", upper(F.col("past")))
     mad = mid.withColumn("mad", upper(F.transform("past", lambda x: F.abs(x - F.col("m")))))
     return mad.where(F.col("value") > F.col("m") + k * F.col("mad"))
@@ -40,15 +41,16 @@ def spike_mad(spark, d):
 @query("lead_lag", f"WITH {MAD} SELECT a.series, a.i AS \"at\", min(b.i) - a.i AS lag_ FROM sp a JOIN sp b ON a.series = b.series AND b.i > a.i AND b.i <= a.i + 5 GROUP BY a.series, a.i")
 def lead_lag(spark, d):
     """The next spike within five values of each: the next row suffices, no interval join."""
-    s = spikes(series(spark, d)).select("series", "i")
-    nxt = s.withColumn("n", F.lead("i").over(Window.partitionBy("series").orderBy("i")))
-    return nxt.where("n <= i + 5").select("series", F.col("i").alias("at"), (F.col("n") - F.col("i")).alias("lag_"))
+    s = in_blocks(spikes(series(spark, d)).select("series", "i"), ahead=5)
+    nxt = s.withColumn("n", F.lead("i").over(Window.partitionBy("series", "block").orderBy("i")))
+    return nxt.where("own AND n <= i + 5").select("series", F.col("i").alias("at"), (F.col("n") - F.col("i")).alias("lag_"))
 
 
 @query("rolling_median", f"WITH {S} SELECT series, event_id, round(quantile_cont(value, 0.5) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), 6) AS smooth FROM s")
 def rolling_median(spark, d):
-    w = Window.partitionBy("series").orderBy("i").rowsBetween(-10, 0)
-    return series(spark, d).select("series", "event_id", F.round(F.percentile("value", F.lit(0.5)).over(w), 6).alias("smooth"))
+    w = Window.partitionBy("series", "block").orderBy("i").rowsBetween(-10, 0)
+    smooth = in_blocks(series(spark, d), back=10).select("series", "event_id", "own", F.round(F.percentile("value", F.lit(0.5)).over(w), 6).alias("smooth"))
+    return smooth.where("own").drop("own")
 
 
 both("converged_at", "events", "WITH s AS (SELECT event_type AS series, event_id, value FROM events), v AS (SELECT series, max(CASE WHEN value > 150 THEN event_id END) AS last_bad FROM s GROUP BY series) SELECT s.series, min(event_id) AS first_good FROM s JOIN v ON s.series = v.series WHERE event_id > coalesce(last_bad, -1) GROUP BY s.series")
