@@ -120,28 +120,80 @@ def unit(v: str) -> Column:
 BLOCK, NO_LABEL = 1024, -(1 << 63)
 
 
+def _blocks(vectors: DataFrame, v: str) -> tuple[DataFrame, int]:
+    """(block, id, label, v): about BLOCK rows of (vec_id, label, v) in each, end to end; and how many blocks."""
+    n = -(-vectors.count() // BLOCK) or 1
+    label = F.coalesce(F.col("label").cast("long"), F.lit(NO_LABEL))
+    row = F.struct(F.col("vec_id").cast("long").alias("id"), label.alias("label"), F.col(v).cast("array<double>").alias("v"))
+    held = vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(row).alias("r"))
+    return held.select("block", F.col("r.id").alias("id"), F.col("r.label").alias("label"), F.flatten(F.col("r.v")).alias("v")), n
+
+
+def _meet(a: DataFrame, b: DataFrame, first, last) -> DataFrame:
+    """Each block of a with the blocks of b from first to last: an equi-join on the block's number."""
+    left = a.select(F.explode(F.sequence(first, last)).alias("with"), *[F.col(c).alias(f"{c}_a") for c in a.columns])
+    return left.join(b.select(F.col("block").alias("with"), *[F.col(c).alias(f"{c}_b") for c in b.columns]), "with")
+
+
+def _sides(row: dict) -> tuple[np.ndarray, ...]:
+    a, b = ((np.asarray(row[f"id_{s}"]), np.asarray(row[f"label_{s}"]), np.asarray(row[f"v_{s}"], float)) for s in "ab")
+    return a[0], a[1], a[2].reshape(len(a[0]), -1), b[0], b[1], b[2].reshape(len(b[0]), -1)
+
+
 def extreme_cosines(units: DataFrame) -> DataFrame:
-    """One row (least_same, most_other): of all pairs of (vec_id, label, u), the least cosine within labels and the most across.
+    """One row (least_same, most_same, most_other, most): of all pairs of (vec_id, label, u), the extreme cosines
+    within labels, the largest across labels, and the largest of all.
 
-    Every two blocks meet once, in NumPy.  Pairs with a null label count for neither; no such pair gives null."""
+    Every two blocks meet once, in one product.  Pairs with a null label count only for most; where there is no
+    such pair, the cosine is null."""
     importable(units.sparkSession)
-    blocks = -(-units.count() // BLOCK) or 1
-    dealt = units.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("vec_id").alias("id"), F.collect_list(F.coalesce(F.col("label").cast("long"), F.lit(NO_LABEL))).alias("label"), F.flatten(F.collect_list("u")).alias("u"))
-    a, b = (dealt.select(*[F.col(c).alias(f"{c}_{side}") for c in dealt.columns]) for side in "ab")
-    met = a.join(b, F.expr("block_a <= block_b"))
+    dealt, n = _blocks(units, "u")
+    met = _meet(dealt, dealt, F.col("block"), F.lit(n - 1))
 
     def extremes(batches):
         for batch in batches:
-            least, most = [], []
+            out = []
             for r in batch.to_dict("records"):
-                (i, j), (k, m) = ((np.asarray(r[f"{c}_a"]), np.asarray(r[f"{c}_b"])) for c in ("id", "label"))
-                cos = np.asarray(r["u_a"]).reshape(len(i), -1) @ np.asarray(r["u_b"]).reshape(len(j), -1).T
-                pair = (i[:, None] != j[None, :]) & (k[:, None] != NO_LABEL) & (m[None, :] != NO_LABEL)
+                i, k, u, j, m, w = _sides(r)
+                cos = u @ w.T
+                pair = i[:, None] != j[None, :]
+                known = pair & (k[:, None] != NO_LABEL) & (m[None, :] != NO_LABEL)
                 same = k[:, None] == m[None, :]
-                least.append(np.min(cos, where=pair & same, initial=np.inf))
-                most.append(np.max(cos, where=pair & ~same, initial=-np.inf))
-            yield pd.DataFrame({"least_same": least, "most_other": most}, dtype=float)
+                most = lambda which: np.max(cos, where=which, initial=-np.inf)  # noqa: B023, E731
+                out.append((np.min(cos, where=known & same, initial=np.inf), most(known & same), most(known & ~same), most(pair)))
+            yield pd.DataFrame(out, columns=["least_same", "most_same", "most_other", "most"], dtype=float)
 
-    found = met.mapInPandas(extremes, "least_same double, most_other double")
+    found = met.mapInPandas(extremes, "least_same double, most_same double, most_other double, most double")
     finite = lambda c: F.when(F.abs(c) <= 2, c)
-    return found.agg(finite(F.min("least_same")).alias("least_same"), finite(F.max("most_other")).alias("most_other"))
+    return found.agg(finite(F.min("least_same")).alias("least_same"), *[finite(F.max(c)).alias(c) for c in ("most_same", "most_other", "most")])
+
+
+def nearest(asked: DataFrame, vectors: DataFrame, v: str, by: str = "cosine") -> DataFrame:
+    """(query_id, nearest, label, nearest_label, value): of all vectors but the query's own the one of the largest dot
+    product (by cosine, of unit vectors), or of the least squared distance (by distance).
+
+    asked and vectors: (vec_id, label, v).  Blocks of queries meet blocks of vectors in one product; the best of
+    each block is measured again directly, and one row a query and block goes on."""
+    importable(vectors.sparkSession)
+    left, _ = _blocks(asked, v)
+    right, n = _blocks(vectors, v)
+    met = _meet(left, right, F.lit(0), F.lit(n - 1))
+
+    def best(batches):
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                i, k, u, j, m, w = _sides(r)
+                score = u @ w.T
+                if by == "distance":
+                    score = 2 * score - (w * w).sum(axis=1)[None, :]
+                score[i[:, None] == j[None, :]] = -np.inf
+                at = score.argmax(axis=1)
+                value = (u * w[at]).sum(axis=1) if by == "cosine" else -((u - w[at]) ** 2).sum(axis=1)
+                value = np.where(np.isfinite(score.max(axis=1)), value, -np.inf)
+                yield pd.DataFrame({"query_id": i, "label": k, "nearest": j[at], "nearest_label": m[at], "value": value})[np.isfinite(value)]
+
+    found = met.mapInPandas(best, "query_id long, label long, nearest long, nearest_label long, value double")
+    top = found.groupBy("query_id", "label").agg(F.max(F.struct("value", (-F.col("nearest")).alias("nearest"), "nearest_label")).alias("t"))
+    known = lambda c: F.when(c != NO_LABEL, c)
+    value = F.col("t.value") if by == "cosine" else -F.col("t.value")
+    return top.select("query_id", (-F.col("t.nearest")).alias("nearest"), known(F.col("label")).alias("label"), known(F.col("t.nearest_label")).alias("nearest_label"), value.alias("value"))

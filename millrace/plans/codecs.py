@@ -47,28 +47,28 @@ def length_coverage(spark, d):
 
 @query("max_cosine", f"SELECT round(max({COS}), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label = b.label")
 def max_cosine(spark, d):
-    """The largest cosine of two vectors of a label: unit vectors, an equi-join within labels."""
-    a, b = unit_vectors(spark, d).alias("a"), unit_vectors(spark, d).alias("b")
-    met = a.join(b, F.expr("a.label = b.label AND a.vec_id < b.vec_id"))
-    return met.agg(F.round(F.max(O.dot("a.u", "b.u")), 6).alias("cosine"))
+    """The largest cosine of two vectors of a label, block by block."""
+    return O.extreme_cosines(unit_vectors(spark, d)).select(F.round("most_same", 6).alias("cosine"))
+
+
+@query("max_cosine_all", f"SELECT round(max({COS}), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
+def max_cosine_all(spark, d):
+    """The largest cosine of any two vectors, block by block."""
+    return O.extreme_cosines(unit_vectors(spark, d)).select(F.round("most", 6).alias("cosine"))
 
 
 @query("nearest_neighbor", f"SELECT a.vec_id AS query_id, arg_max(b.vec_id, {COS}) AS nearest, round(max({COS}), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id")
 def nearest_neighbor(spark, d):
-    """The stated query set (ids divisible by 20) against all rows."""
-    a = unit_vectors(spark, d, 20).select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
-    met = a.join(unit_vectors(spark, d), F.expr("query_id <> vec_id")).withColumn("c", O.dot("q", "u"))
-    return met.groupBy("query_id").agg(F.max_by("vec_id", "c").alias("nearest"), F.round(F.max("c"), 4).alias("cosine"))
+    """The stated query set (ids divisible by 20) against all rows, block by block."""
+    found = O.nearest(unit_vectors(spark, d, 20), unit_vectors(spark, d), "u")
+    return found.select("query_id", "nearest", F.round("value", 4).alias("cosine"))
 
 
 @query("nearest_label_rate", "WITH p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), m AS (SELECT vec_id, any_value(la) AS la, arg_min(lb, dist) AS lb FROM p GROUP BY vec_id) SELECT count(*) AS queries, count(*) FILTER (la = lb) AS same_label FROM m")
 def nearest_label_rate(spark, d):
     v = table(spark, d, "embeddings")
-    a = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("la"), F.col("embedding").alias("x"))
-    apart = F.aggregate(F.zip_with("x", "embedding", lambda p, r: (p.cast("double") - r.cast("double")) * (p.cast("double") - r.cast("double"))), F.lit(0.0), lambda acc, y: acc + y)
-    met = a.join(v, F.expr("q <> vec_id")).withColumn("dist", apart)
-    m = met.groupBy("q").agg(F.first("la").alias("la"), F.min_by("label", "dist").alias("lb"))
-    return m.agg(F.count("*").alias("queries"), F.count_if(F.col("la") == F.col("lb")).alias("same_label"))
+    m = O.nearest(v.where("vec_id % 20 = 0"), v, "embedding", by="distance")
+    return m.agg(F.count("*").alias("queries"), F.count_if(F.col("label") == F.col("nearest_label")).alias("same_label"))
 
 
 @query("family_distance", f"SELECT a.label = b.label AS same, count(*) AS pairs, round(avg({COS}), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id GROUP BY 1")
