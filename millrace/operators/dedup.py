@@ -67,35 +67,51 @@ def band_keys(docs: DataFrame, p: Lsh = Lsh()) -> DataFrame:
     return signatures(docs, p).select("doc_id", F.posexplode(keys).alias("band", "key"))
 
 
+def text_classes(docs: DataFrame, *extra: Column) -> DataFrame:
+    """(doc_id, copies, ...) of the first document of each text, by doc_id; extra aggregates see all its copies."""
+    return docs.groupBy(F.sha1("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *extra).drop("digest")
+
+
 def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b), a < b, of documents that share a band."""
+    """(a, b), a < b, of documents that share a band.  For keys of one document of each text: copies
+    would be expanded into all their pairs."""
     x, y = keys.alias("x"), keys.alias("y")
     met = x.join(y, F.expr("x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id"))
     return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
-def greedy_duplicates(pairs: DataFrame) -> DataFrame:
-    """doc_ids that a scan by doc_id drops: those that share a band with an earlier kept one.
+def later_members(keys: DataFrame) -> DataFrame:
+    """doc_ids that share a band with an earlier document: those that aren't the first of each of their bands."""
+    first = keys.groupBy("band", "key").agg(F.min("doc_id").alias("first"))
+    return keys.join(first, ["band", "key"]).where("doc_id > first").select("doc_id").distinct()
 
-    Each round settles all documents whose earlier partners are settled; pairs of settled
-    documents leave.  Rounds go on until no pair is left, as many as the longest chain of partners
-    asks for; what a round leaves and what it drops are written, so that plans stay short."""
-    left, dropped = cut(pairs, "pairs"), []
-    while not left.isEmpty():
-        heads = left.select(F.col("a").alias("doc_id")).distinct().join(left.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
-        gone = cut(left.join(heads.withColumnRenamed("doc_id", "a"), "a", "left_semi").select(F.col("b").alias("doc_id")).distinct(), "gone")
-        dropped += gone.inputFiles()
-        left = cut(left.join(gone.withColumnRenamed("doc_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("doc_id", "b"), "b", "left_anti"), "pairs")
-    spark = pairs.sparkSession
-    return spark.read.schema("doc_id long").parquet(*dropped) if dropped else spark.createDataFrame([], "doc_id long")
 
+def greedy_duplicates(keys: DataFrame) -> DataFrame:
+    """doc_ids that a scan by doc_id drops: those that share a band with an earlier kept one.
 
-def component_duplicates(pairs: DataFrame) -> DataFrame:
-    """doc_ids that are not the least of their component of near pairs.
-
-    Every document takes the least name among its own and its neighbours', then that name's own name,
-    until no name changes."""
-    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "edges")
+    Each round keeps the documents that come first in all their bands and drops all others of these
+    bands; both leave.  Rounds go on until none is left, as many as the longest chain of partners asks
+    for; what a round leaves and what it drops are written, so that plans stay short."""
+    shared = keys.groupBy("band", "key").count().where("count > 1").select("band", "key")
+    left, dropped = cut(keys.join(shared, ["band", "key"]).select("doc_id", "band", "key"), "bands"), None
+    while not left.isEmpty():
+        led = left.join(left.groupBy("band", "key").agg(F.min("doc_id").alias("first")), ["band", "key"])
+        kept = led.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") == F.col("first")).alias("leads")).where("leads").select(F.col("doc_id").alias("first"))
+        gone = cut(led.where("doc_id <> first").join(kept, "first").select("doc_id").distinct(), "gone")
+        dropped = gone if dropped is None else dropped.union(gone)
+        settled = gone.union(kept.select(F.col("first").alias("doc_id")))
+        left = cut(left.join(settled, "doc_id", "left_anti"), "bands")
+    return dropped if dropped is not None else keys.sparkSession.createDataFrame([], "doc_id long")
+
+
+def component_duplicates(keys: DataFrame) -> DataFrame:
+    """doc_ids that are not the least of their component of documents that share bands.
+
+    A band's members are linked to its first.  Every document takes the least name among its own and its
+    neighbours', then that name's own name, until no name changes."""
+    first = keys.groupBy("band", "key").agg(F.min("doc_id").alias("b"))
+    pairs = keys.join(first, ["band", "key"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    both = cut(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     names = cut(both.groupBy(F.col("a").alias("doc_id")).agg(F.least("doc_id", F.min("b")).alias("name")), "names")
     while True:
         of = names.select(F.col("doc_id").alias("b"), F.col("name").alias("m"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import lines, words
 from millrace.operators import dedup as O
 from millrace.plans.base import query
-from millrace.sources.tables import table
+from millrace.sources.tables import cut, table
 
 P = O.Lsh()
 SIG = "[" + ", ".join(f"list_min(list_transform(h, lambda x: (x * {a}::BIGINT + {b}) % {O.PRIME}))" for a, b in P.permutations()) + "]"
@@ -50,29 +50,46 @@ def dedup_signature(spark, d):
     return O.signatures(docs(spark, d), P).select("doc_id", F.md5(F.array_join("s", ",")).alias("signature_md5"))
 
 
-@query("dedup_near_pairs", f"WITH {BANDS} SELECT a, b FROM pairs")
+def representatives(spark, d):
+    """Bands of the first document of each text."""
+    return O.band_keys(docs(spark, d)).join(O.text_classes(docs(spark, d)).select("doc_id"), "doc_id", "left_semi")
+
+
+@query("dedup_near_pairs", f"WITH {BANDS}, f AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS first_id FROM documents) SELECT a, b, 'near' AS kind FROM pairs JOIN f x ON x.doc_id = a AND x.first_id = a JOIN f y ON y.doc_id = b AND y.first_id = b UNION ALL SELECT first_id, doc_id, 'copy' FROM f WHERE first_id <> doc_id")
 def dedup_near_pairs(spark, d):
-    firsts = docs(spark, d)
-    return O.candidate_pairs(O.band_keys(firsts))
+    """Pairs of different texts that share a band, each text by its first document; and the copies of each."""
+    near = O.candidate_pairs(representatives(spark, d)).select("a", "b", F.lit("near").alias("kind"))
+    digests = docs(spark, d).select("doc_id", F.sha1("text").alias("h"))
+    copies = O.duplicate_of(digests, "h", "doc_id").where("duplicate_of IS NOT NULL")
+    return near.union(copies.select(F.col("duplicate_of").alias("a"), F.col("doc_id").alias("b"), F.lit("copy").alias("kind")))
 
 
 @query("dedup_near_greedy")
 def dedup_near_greedy(spark, d):
     """What a scan by doc_id drops (order-dependent: held against plain Python in tests)."""
-    return O.greedy_duplicates(O.candidate_pairs(O.band_keys(docs(spark, d))))
+    return O.greedy_duplicates(O.band_keys(docs(spark, d)))
 
 
 @query("dedup_near_keep", f"WITH RECURSIVE {BANDS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT a AS doc_id, b AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other) SELECT doc_id FROM r GROUP BY doc_id HAVING min(other) < doc_id")
 def dedup_near_keep(spark, d):
     """What a keep of one document (the first) a component of near pairs drops."""
-    return O.component_duplicates(O.candidate_pairs(O.band_keys(docs(spark, d))))
+    return O.component_duplicates(O.band_keys(docs(spark, d)))
 
 
 @query("dedup_local_vs_global", f"WITH {BANDS} SELECT count(*) AS global_pairs, count(*) FILTER (a % 4 = b % 4) AS local_pairs, count(*) FILTER (a % 4 <> b % 4) AS cross_shard FROM pairs")
 def dedup_local_vs_global(spark, d):
-    """Pairs that four shards by themselves would miss."""
-    local = F.col("a") % 4 == F.col("b") % 4
-    return O.candidate_pairs(O.band_keys(docs(spark, d))).agg(F.count("*").alias("global_pairs"), F.count_if(local).alias("local_pairs"), F.count_if(~local).alias("cross_shard"))
+    """Pairs that four shards by themselves would miss, counted from pairs of texts and how many copies each shard has."""
+    shards = [F.count_if(F.col("doc_id") % 4 == k).alias(f"s{k}") for k in range(4)]
+    texts = cut(O.text_classes(docs(spark, d), *shards), "texts")
+    near = O.candidate_pairs(O.band_keys(docs(spark, d)).join(texts.select("doc_id"), "doc_id", "left_semi"))
+    side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("copies").alias(f"n_{name}"), *[F.col(f"s{k}").alias(f"s{k}_{name}") for k in range(4)])
+    apart = near.join(side("a"), "a").join(side("b"), "b").agg(
+        F.sum(F.col("n_a") * F.col("n_b")).alias("n"), F.sum(sum(F.col(f"s{k}_a") * F.col(f"s{k}_b") for k in range(4))).alias("local")
+    )
+    twice = lambda c: F.expr(f"{c} * ({c} - 1) div 2")
+    alike = texts.agg(F.sum(twice("copies")).alias("n"), F.sum(sum(twice(f"s{k}") for k in range(4))).alias("local"))
+    total = apart.union(alike).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("global_pairs"), F.coalesce(F.sum("local"), F.lit(0)).alias("local_pairs"))
+    return total.withColumn("cross_shard", F.col("global_pairs") - F.col("local_pairs"))
 
 
 @query("dedup_union_removed", f"WITH {BANDS}, ex AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS r FROM documents) WHERE r > 1), gone AS (SELECT doc_id FROM ex UNION SELECT b FROM pairs) SELECT count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN gone USING (doc_id)")
@@ -80,7 +97,7 @@ def dedup_union_removed(spark, d):
     """Exact copies and every later member of a near pair, together."""
     all_docs = docs(spark, d)
     copies = O.duplicate_of(all_docs.select("doc_id", F.sha1("text").alias("h")), "h", "doc_id").where("duplicate_of IS NOT NULL").select("doc_id")
-    near = O.candidate_pairs(O.band_keys(all_docs)).select(F.col("b").alias("doc_id"))
+    near = O.later_members(O.band_keys(all_docs))
     return all_docs.join(copies.union(near).distinct(), "doc_id", "left_semi").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
 
 
@@ -91,12 +108,12 @@ def dedup_dup_lines(spark, d):
     return docs(spark, d).select("doc_id", F.round(share, 6).alias("dup_lines"))
 
 
-@query("dedup_jaccard", f"WITH {BANDS} SELECT a, b, round(len(list_intersect(x.h, y.h))::DOUBLE / (len(x.h) + len(y.h) - len(list_intersect(x.h, y.h))), 6) AS jaccard FROM pairs JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b")
+@query("dedup_jaccard", f"WITH {BANDS}, f AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha1(text)) SELECT a, b, round(len(list_intersect(x.h, y.h))::DOUBLE / (len(x.h) + len(y.h) - len(list_intersect(x.h, y.h))), 6) AS jaccard FROM pairs JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b WHERE a IN (SELECT doc_id FROM f) AND b IN (SELECT doc_id FROM f)")
 def dedup_jaccard(spark, d):
-    """Candidates with the exact similarity of their shingle sets."""
+    """Candidates of different texts, each by its first document, with the exact similarity of their shingle sets."""
     all_docs = docs(spark, d)
     sets = all_docs.select("doc_id", O.shingle_hashes(F.col("text"), 5).alias("h"))
-    met = O.candidate_pairs(O.band_keys(all_docs)).join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("y")), "b")
+    met = O.candidate_pairs(representatives(spark, d)).join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return met.select("a", "b", F.round(common / (F.size("x") + F.size("y") - common), 6).alias("jaccard"))
 

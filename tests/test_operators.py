@@ -60,7 +60,7 @@ def test_greedy_scan_matches_python(spark, sf):
             want.add(doc)
         else:
             seen.update(by_doc[doc])
-    got = {r["doc_id"] for r in dedup.greedy_duplicates(dedup.candidate_pairs(keys)).collect()}
+    got = {r["doc_id"] for r in dedup.greedy_duplicates(keys).collect()}
     assert got == want
 
 
