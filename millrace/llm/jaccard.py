@@ -10,9 +10,9 @@ partner at the threshold would be met in some tree with the target recall.  A pr
 group is as open as any of its members asks for; whoever shares an open group is a
 candidate.
 
-Candidates are verified on whole shingle sets, in blocks of bounded size.  Classes that
-share their longest prefixes lie in one block, or in as many as they fill; two blocks meet
-only if some open group has members in both.  Pairs stay inside the task that counts them.
+Candidates are verified on whole shingle sets, in blocks of bounded size.  A component of
+candidates is dealt to blocks in an order that keeps those together that share their longest
+prefixes; two blocks meet only if some open group has members in both.  Pairs stay inside the task that counts them.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import drop_table, materialize, python_batches
 from millrace.llm.graph import components
 from millrace.llm.kernels import mix, slices, texts, window_hashes, word_hashes
+from millrace.operators.runs import numbered
 
 #: Bytes of text and documents of a block; two blocks meet in a task.
 BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 512
@@ -279,19 +280,14 @@ def join(spark: SparkSession, docs: DataFrame, keep: list[str], forest: Forest =
     drop_table(spark, entries)
     groups = materialize(spark, components(spark, opened.where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()), "groups")
 
-    # blocks: a family, the classes that share their longest prefixes with one class, in as many as it fills; small
-    # families share blocks with those that they meet first in an open group
-    family = opened.groupBy("node").agg(F.min("leaf").alias("family"), F.min("head").alias("near"))
-    member = groups.select("node").join(family, "node").join(classes.select("node", "size"), "node").join(signed.select(F.col("row").alias("node"), "n_bytes"), "node")
-    member = materialize(spark, member, "families")
-    fill = lambda share: F.greatest(F.ceil(F.sum("bytes") / (BLOCK_BYTES * share)), F.ceil(F.sum("docs") / (BLOCK_DOCS * share)), F.lit(1)).cast("int")
-    load = member.groupBy("family").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs"), F.min("near").alias("near"))
-    small = (F.col("bytes") * 2 < BLOCK_BYTES) & (F.col("docs") * 2 < BLOCK_DOCS)
-    load = load.withColumn("small", small).withColumn("near", F.when(F.col("small"), F.col("near")).otherwise(F.col("family")))
-    shares = load.groupBy("near", "small").agg(F.when(F.col("small"), fill(0.5)).otherwise(fill(1)).alias("blocks"))
-    dealt_to = load.join(shares, ["near", "small"]).select("family", "near", "small", "blocks")
-    block = F.xxhash64("near", "small", F.pmod(F.xxhash64(F.when(F.col("small"), F.col("family")).otherwise(F.col("node"))), F.col("blocks")))
-    member = materialize(spark, member.drop("near").join(dealt_to, "family").select("node", "size", block.alias("block")), "members")
+    # blocks: runs of a component's classes, those next to each other that share their longest prefixes with one
+    # class, and before that any open group; each block is full but for a component's last
+    near = opened.groupBy("node").agg(F.min("head").alias("near"), F.min("leaf").alias("family"))
+    weight = F.greatest(F.col("n_bytes"), F.lit(-(-BLOCK_BYTES // BLOCK_DOCS)))
+    member = groups.join(near, "node").join(classes.select("node", "size"), "node").join(signed.select(F.col("row").alias("node"), weight.alias("weight")), "node")
+    placed_at = numbered(member, ["component"], ["near", "family", "node"], "upto", add="weight")
+    block = F.xxhash64("component", F.floor((F.col("upto") - F.col("weight")) / BLOCK_BYTES))
+    member = materialize(spark, placed_at.select("node", "size", block.alias("block")), "members")
     held = opened.select("node", "group").join(member.select("node", "block"), "node").select("group", "block").distinct()
     held = materialize(spark, held, "held")
     meet = held.withColumnRenamed("block", "a").join(held.withColumnRenamed("block", "b"), "group").where("a <= b").select("a", "b").distinct()
