@@ -121,20 +121,17 @@ def _expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 def _bits(values: np.ndarray, width: int) -> bytes:
     """width bits of each value, the lowest first, end to end."""
-    out = np.empty((len(values), width), np.uint8)
-    for i in range(width):
-        out[:, i] = values >> i & 1
-    return np.packbits(out.ravel(), bitorder="little").tobytes()
+    each = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(each[:, :width].ravel(), bitorder="little").tobytes()
 
 
 def _from_bits(data: np.ndarray, first: int, count: int, width: int) -> np.ndarray:
     """count values from the first-th on; reads only the bytes that hold them."""
     start = first * width
-    raw = np.unpackbits(data[start // 8:(start + count * width + 7) // 8], bitorder="little")[start % 8:start % 8 + count * width].reshape(count, width)
-    out = np.zeros(count, np.int64)
-    for i in range(width):
-        out |= raw[:, i].astype(np.int64) << i
-    return out
+    raw = np.unpackbits(data[start // 8:(start + count * width + 7) // 8], bitorder="little")[start % 8:start % 8 + count * width]
+    each = np.zeros((count, 32), np.uint8)
+    each[:, :width] = raw.reshape(count, width)
+    return np.packbits(each, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
 
 
 def write_shard(ids: np.ndarray, sizes: np.ndarray) -> bytes:
