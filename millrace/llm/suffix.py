@@ -2,13 +2,16 @@
 
 Equal windows pick the same anchor, the least hash of the short n-grams in them, so
 consecutive windows of one anchor travel as one segment, and every two equal windows meet
-under their anchor.  Hashes only route: which windows repeat is decided on words.
-The segments of an anchor that others share are fetched from the texts.  Those of equal
-words form a passage; its first is compared with each later one, word by word.  The
-passages of an anchor are a reference shard of bounded size: a suffix automaton in the task
-that owns it, past which they are streamed in corpus order for matching statistics.  An
-anchor with more segments than a shard takes is split by a finer key, the whole window, so
-that all that share it are one passage.
+under their anchor.  Hashes only route; what repeats is decided on words:
+
+* Segments of equal hash are claims that a later document holds an earlier passage.  A
+  document's claims that lie end to end in one earlier document are one passage; its words
+  are fetched there, and the document is streamed past them: by comparison word for word,
+  and by the passage's suffix automaton should they differ.
+* Where an anchor has segments of different words, these form a reference shard of bounded
+  size: one suffix automaton in the task that owns it, past which they are streamed in
+  corpus order for matching statistics.  An anchor with more of them than a shard takes is
+  split by a finer key, the whole window, which makes claims of the first kind.
 
 (Broadcasting automata of all reference shards to all documents would send the corpus to
 every executor, as every document is a reference for later ones; routing by anchor sends
@@ -26,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import BATCH_BYTES, materialize, python_batches
-from millrace.llm.kernels import _WORDS, mix, pack, repeat_ranges, slices, sliding_min, span_hashes, texts, window_hashes, word_hashes, word_spans
+from millrace.llm.kernels import _WORDS, mix, pack, repeat_ranges, slices, sliding_min, texts, window_hashes, word_hashes, word_spans
 
 LAST = (1 << 63) - 1
+_LEAD = ["lead_doc", "lead_mark", "lead_first"]
 
 
 @dataclass(frozen=True)
@@ -143,14 +147,12 @@ def _same_words(words: np.ndarray, at: np.ndarray, lead: np.ndarray, size: np.nd
     return np.logical_and.reduceat(equal, np.cumsum(size) - size) if len(size) else np.zeros(0, bool)
 
 
-def repeats(spark: SparkSession, docs: DataFrame, p: Spans = Spans()) -> DataFrame:
-    """(at_doc, mark, first, windows): runs of windows whose words also start earlier.
-
-    Earlier is a smaller doc_id, or the same doc_id and a smaller start; documents without
-    doc_id come last, as one.  mark is a hash of the text."""
-    python_batches(spark)
+def _claims(spark: SparkSession, rows: DataFrame, p: Spans) -> tuple[DataFrame, DataFrame]:
+    """Runs of windows that are known to repeat, (at_doc, mark, first, windows); and claims that windows repeat
+    those of an earlier passage, with lead_doc, lead_mark and lead_first."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _keyed(docs, [])
+    place = ["at_doc", "mark", "first", "windows"]
+    runs = ", ".join(f"{c} long" for c in place)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments by anchor.  Of those in a batch with the same words only the first goes on; the later are repeats."""
@@ -170,106 +172,201 @@ def repeats(spark: SparkSession, docs: DataFrame, p: Spans = Spans()) -> DataFra
             new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = np.flatnonzero((doc_key != doc_key[lead]) | (first != first[lead]))
-            place = begin[doc] + first
+            at = begin[doc] + first
             equal = np.zeros(len(doc), bool)
-            equal[later] = (count[later] == count[lead[later]]) & _same_words(words, place[later], place[lead[later]], np.minimum(count[later], count[lead[later]]) + p.window - 1)
+            equal[later] = (count[later] == count[lead[later]]) & _same_words(words, at[later], at[lead[later]], np.minimum(count[later], count[lead[later]]) + p.window - 1)
             again = np.zeros(len(doc), bool)  # rows of one doc_id and text are one
             again[1:] = ~new[1:] & (doc_key[1:] == doc_key[:-1]) & (first[1:] == first[:-1]) & (mark[doc[1:]] == mark[doc[:-1]])
             out = ~again
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor[out].astype(np.int64), mask=equal[out]), *[pa.array(x[out]) for x in (content.astype(np.int64), doc_key, mark[doc], first, count)]],
-                names=["anchor", "content", "at_doc", "mark", "first", "windows"],
+                names=["anchor", "content", *place],
             )
 
-    runs = "at_doc long, mark long, first long, windows long"
-    emitted = materialize(spark, rows.mapInArrow(emit, f"anchor long, content long, {runs}"), "emitted")
-    known = emitted.where("anchor IS NULL").select("at_doc", "mark", "first", "windows")
-    asked = emitted.where("anchor IS NOT NULL")
-    many = asked.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(spark, asked.join(many, "anchor"), "shared")
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By anchor, content and order: later segments claim to repeat the first of their content; of an anchor with
+        several contents the first of each is for a shard, with its anchor."""
+        held: list[np.ndarray] | None = None  # the last content's first rows, not yet judged
+        shared_before = False
+
+        def judged(cols: list[np.ndarray], final: bool):
+            nonlocal held, shared_before
+            anchor, content, at_doc, mark, first, windows = cols
+            new = np.ones(len(anchor), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            tie = (at_doc == at_doc[lead]) & (first == first[lead])
+            heads = np.flatnonzero(new)
+            same = np.zeros(len(heads), bool)
+            same[1:] |= anchor[heads[1:]] == anchor[heads[:-1]]
+            same[:-1] |= anchor[heads[1:]] == anchor[heads[:-1]]
+            same[0] |= shared_before
+            keep_from = len(anchor)
+            if not final:  # whether the last content's anchor has another is not known yet
+                keep_from = heads[-1]
+                held_rows = tie & (np.arange(len(anchor)) >= keep_from)
+                held = [c[held_rows] for c in cols]
+                shared_before = bool(same[-1])
+            ask = tie & same[np.cumsum(new) - 1] & (np.arange(len(anchor)) < keep_from)
+            out = ask | ~tie
+            if not out.any():
+                return None
+            claim = [pa.array(c[lead[out]], mask=ask[out]) for c in (at_doc, mark, first)]
+            return pa.RecordBatch.from_arrays([pa.array(anchor[out], mask=~ask[out]), *[pa.array(c[out]) for c in (at_doc, mark, first, windows)], *claim], names=["anchor", *place, *_LEAD])
+
+        for batch in batches:
+            loose = batch.column("anchor").is_null().to_numpy(zero_copy_only=False)
+            if loose.any():
+                known = batch.filter(pa.array(loose))
+                none = pa.nulls(known.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, *[known.column(c) for c in place], none, none, none], names=["anchor", *place, *_LEAD])
+                batch = batch.filter(pa.array(~loose))
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in ("anchor", "content", *place)]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            got = judged(cols, False)
+            if got is not None:
+                yield got
+        if held is not None:
+            got = judged(held, True)
+            if got is not None:
+                yield got
+
+    emitted = rows.mapInArrow(emit, f"anchor long, content long, {runs}")
+    dealt = emitted.repartition(parts, F.coalesce("anchor", F.xxhash64("mark", "first"))).sortWithinPartitions("anchor", "content", "at_doc", "first")
+    settled = materialize(spark, dealt.mapInArrow(settle, f"anchor long, {runs}, lead_doc long, lead_mark long, lead_first long"), "settled")
+    known = settled.where("anchor IS NULL AND lead_doc IS NULL").select(*place)
+    claims = settled.where("lead_doc IS NOT NULL").select(*place, *_LEAD)
+    asked = settled.where("anchor IS NOT NULL").select("anchor", *place)
+
     # an automaton knows no starts: where texts share a doc_id, windows are dealt singly, so that ties stay ties
     twins = rows.select("at_doc", "mark").distinct().groupBy("at_doc").count().where("count > 1").select("at_doc")
-    tied = shared.join(twins, "at_doc", "left_semi").select("anchor", F.lit(True).alias("tied")).distinct()
-    shared = shared.join(tied, "anchor", "left").withColumn("singly", F.coalesce("tied", F.lit(False)) | (F.col("n") > p.group_most))
-    wanted = shared.groupBy("at_doc", "mark").agg(F.collect_set(F.struct("anchor", "content", "first", "windows", "singly")).alias("asked"))
+    tied = asked.join(twins, "at_doc", "left_semi").select("anchor", F.lit(True).alias("tied")).distinct()
+    many = asked.groupBy("anchor").count().where(F.col("count") > p.group_most).select("anchor", F.lit(True).alias("many"))
+    asked = asked.join(many, "anchor", "left").join(tied, "anchor", "left").withColumn("singly", F.coalesce("many", "tied", F.lit(False)))
+    wanted = asked.groupBy("at_doc", "mark").agg(F.collect_set(F.struct("anchor", "first", "windows", "singly")).alias("asked"))
+    fetched = rows.join(wanted, ["at_doc", "mark"]).mapInArrow(_fetch(p), "anchor long, singly boolean, at_doc long, mark long, first long, windows long, words binary")
+    fetched = materialize(spark, fetched, "segments")
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of every asked segment, as they stand in the text; of one dealt singly, those of each window."""
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments by anchor and order: one is asked for what earlier ones hold, then added."""
+        automaton, anchor, before = Automaton(), None, None
+        for batch in batches:
+            out = []
+            for key, at_doc, mark, first, words in zip(*[batch.column(c).to_pylist() for c in ("anchor", "at_doc", "mark", "first", "words")], strict=True):
+                if before == (key, at_doc, mark, first):  # a row that is there twice
+                    continue
+                before, listed = (key, at_doc, mark, first), words.split()
+                if key != anchor:
+                    if automaton.words > p.shard_words:
+                        automaton = Automaton()
+                    anchor = key
+                else:
+                    out += [(at_doc, mark, first + start, n) for start, n in _matched(automaton, listed, p.window)]
+                automaton.add(listed)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=place)
+
+    usual = fetched.where("NOT singly").select("anchor", "at_doc", "mark", "first", "words")
+    matched = usual.repartition(parts, "anchor").sortWithinPartitions("anchor", "at_doc", "first", "mark").mapInArrow(stream, runs)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("words")
+            hashes, begin = word_hashes(*texts(column))
+            n = batch.column("windows").to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            at = repeat_ranges(begin[:-1], n)
+            h = window_hashes(hashes, p.window)[at].astype(np.int64) if len(at) else np.empty(0, np.int64)
+            first = batch.column("first").to_numpy()[row] + at - begin[:-1][row]
+            yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array(batch.column(c).to_numpy()[row]) for c in ("at_doc", "mark")], pa.array(first)], names=["window", "at_doc", "mark", "first"])
+
+    single = fetched.where("singly").mapInArrow(windows, "window long, at_doc long, mark long, first long")
+    single = materialize(spark, single, "windows")
+    least = single.groupBy("window").agg(F.min(F.struct("at_doc", "first", "mark")).alias("least"))
+    later = single.join(least, "window").where(F.struct("at_doc", "first") > F.struct("least.at_doc", "least.first"))
+    later = later.select("at_doc", "mark", "first", F.lit(1).cast("long").alias("windows"), F.col("least.at_doc").alias("lead_doc"), F.col("least.mark").alias("lead_mark"), F.col("least.first").alias("lead_first"))
+    return known.unionByName(matched), claims.unionByName(later)
+
+
+def _fetch(p: Spans):
+    """Of texts with asked places (structs with first and windows), the words there as they stand in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts(batch.column("text"))
             start, end, begin = word_spans(data, offsets)
             lists = batch.column("asked")
-            per = np.diff(lists.offsets.to_numpy())
-            items = lists.flatten()
-            anchor, content, first, windows = (items.field(c).to_numpy() for c in ("anchor", "content", "first", "windows"))
-            singly = items.field("singly").to_numpy(zero_copy_only=False)
+            per, items = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            first, windows = (items.field(c).to_numpy() for c in ("first", "windows"))
             doc = np.repeat(np.arange(batch.num_rows), per)
-            if singly.any():
-                times = np.where(singly, windows, 1)
-                first = repeat_ranges(first, times)
-                doc, anchor, content, windows, alone = (np.repeat(x, times) for x in (doc, anchor, content, windows, singly))
-                hashes = window_hashes(span_hashes(data, start, end), p.window)
-                key = hashes[(begin[doc] + first)[alone]].astype(np.int64)
-                anchor[alone], content[alone], windows[alone] = key, key, 1
             at = begin[doc] + first
             a, b = start[at], end[at + windows + p.window - 2]
+            names = [f.name for f in items.type if f.name not in ("first", "windows")]
             for lo, hi in _runs(b - a):
                 size = b[lo:hi] - a[lo:hi]
                 raw = pack(data[repeat_ranges(a[lo:hi], size)], np.concatenate([[0], np.cumsum(size)]))
-                d = doc[lo:hi]
+                keys = [pa.array(batch.column(c).to_numpy()[doc[lo:hi]]) for c in ("at_doc", "mark")]
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(x[lo:hi]) for x in (anchor, content)], pa.array(batch.column("at_doc").to_numpy()[d]), pa.array(batch.column("mark").to_numpy()[d]), pa.array(first[lo:hi]), raw],
-                    names=["anchor", "content", "at_doc", "mark", "first", "words"],
+                    [*[items.field(c).slice(lo, hi - lo) for c in names], *keys, pa.array(first[lo:hi]), pa.array(windows[lo:hi]), raw],
+                    names=[*names, "at_doc", "mark", "first", "windows", "words"],
                 )
 
-    held = rows.join(wanted, ["at_doc", "mark"]).mapInArrow(fetch, "anchor long, content long, at_doc long, mark long, first long, words binary")
-    held = materialize(spark, held, "segments")
-    order = F.struct("at_doc", "first", "mark")
-    passages = held.groupBy("anchor", "content").agg(F.min_by(F.struct("at_doc", "first", "mark", "words"), order).alias("p"))
-    passages = materialize(spark, passages.select("anchor", "content", "p.*"), "passages")
+    return run
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Later segments against their passage's first."""
-        for batch in batches:
-            out, (lead, words) = [], (batch.column(c).to_pylist() for c in ("lead", "words"))
-            for i, (x, y) in enumerate(zip(lead, words, strict=True)):
-                if x == y or x.split() == y.split():
-                    out.append((i, 0, len(x.split()) - p.window + 1))
-                else:  # equal hashes of other words
-                    a = Automaton()
-                    a.add(x.split())
-                    out += [(i, first, n) for first, n in _matched(a, y.split(), p.window)]
-            if out:
-                i, first, n = (np.array(x, np.int64) for x in zip(*out, strict=True))
-                cols = [batch.column(c).to_numpy()[i] for c in ("at_doc", "mark", "first")]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cols[0], cols[1], cols[2] + first, n)], names=["at_doc", "mark", "first", "windows"])
 
-    lead = passages.select("anchor", "content", F.struct("at_doc", "first").alias("from"), F.col("words").alias("lead"))
-    later = held.join(lead, ["anchor", "content"]).where(F.struct("at_doc", "first") > F.col("from"))
-    copies = later.select("at_doc", "mark", "first", "words", "lead").mapInArrow(compare, runs)
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's claims that lie end to end, here and in one earlier document, as one."""
+    for batch in batches:
+        lists = batch.column("claims")
+        per, items = np.diff(lists.offsets.to_numpy()), lists.flatten()
+        if not len(items):
+            continue
+        row = np.repeat(np.arange(batch.num_rows), per)
+        first, windows, doc, mark, lead = (items.field(c).to_numpy() for c in ("first", "windows", "lead_doc", "lead_mark", "lead_first"))
+        order = np.lexsort((first, first - lead, mark, doc, row))
+        row, first, windows, doc, mark, lead = (x[order] for x in (row, first, windows, doc, mark, lead))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (first[1:] - lead[1:] != first[:-1] - lead[:-1]) | (first[1:] != first[:-1] + windows[:-1])
+        at = np.flatnonzero(new)
+        keys = [pa.array(batch.column(c).to_numpy()[row[at]]) for c in ("at_doc", "mark")]
+        yield pa.RecordBatch.from_arrays(
+            [*keys, pa.array(first[at]), pa.array(np.add.reduceat(windows, at)), pa.array(doc[at]), pa.array(mark[at]), pa.array(lead[at])],
+            names=["at_doc", "mark", "first", "windows", "lead_doc", "lead_mark", "lead_first"],
+        )
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Passages by anchor and order: a passage is asked for what earlier ones hold, then added."""
-        automaton, anchor, alone = Automaton(), None, None
-        for batch in batches:
-            out = []
-            for key, at_doc, mark, first, words in zip(*[batch.column(c).to_pylist() for c in ("anchor", "at_doc", "mark", "first", "words")], strict=True):
-                if key != anchor:
-                    if automaton.words > p.shard_words:
-                        automaton = Automaton()
-                    anchor, alone = key, words  # an anchor with one passage asks nothing
-                    continue
-                if alone is not None:
-                    automaton.add(alone.split())
-                    alone = None
-                listed = words.split()
-                out += [(at_doc, mark, first + start, n) for start, n in _matched(automaton, listed, p.window)]
-                automaton.add(listed)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["at_doc", "mark", "first", "windows"])
 
-    matched = passages.repartition(parts, "anchor").sortWithinPartitions("anchor", "at_doc", "first", "mark").mapInArrow(stream, runs)
-    return known.unionByName(copies).unionByName(matched)
+def repeats(spark: SparkSession, docs: DataFrame, p: Spans = Spans()) -> DataFrame:
+    """(at_doc, mark, runs, passages) of the documents that may hold windows whose words also start earlier:
+    runs of windows that do, and the words of earlier passages that others are to be held against.
+
+    Earlier is a smaller doc_id, or the same doc_id and a smaller start; documents without
+    doc_id come last, as one.  mark is a hash of the text."""
+    python_batches(spark)
+    rows = _keyed(docs, [])
+    known, claims = _claims(spark, rows, p)
+    by_doc = claims.groupBy("at_doc", "mark").agg(F.collect_set(F.struct("first", "windows", "lead_doc", "lead_mark", "lead_first")).alias("claims"))
+    stretches = by_doc.mapInArrow(_stretches, "at_doc long, mark long, first long, windows long, lead_doc long, lead_mark long, lead_first long")
+    stretches = materialize(spark, stretches, "stretches")
+    asked = stretches.groupBy(F.col("lead_doc").alias("at_doc"), F.col("lead_mark").alias("mark")).agg(F.collect_set(F.struct(F.col("lead_first").alias("first"), "windows")).alias("asked"))
+    passages = rows.join(asked, ["at_doc", "mark"]).mapInArrow(_fetch(p), "at_doc long, mark long, first long, windows long, words binary")
+    passages = passages.select(F.col("at_doc").alias("lead_doc"), F.col("mark").alias("lead_mark"), F.col("first").alias("lead_first"), "windows", "words").dropDuplicates([*_LEAD, "windows"])
+    held = stretches.join(materialize(spark, passages, "passages"), [*_LEAD, "windows"])
+    passages_of = held.groupBy("at_doc", "mark").agg(F.collect_list(F.struct("first", "windows", "words")).alias("passages"))
+    runs_of = known.groupBy("at_doc", "mark").agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
+    return runs_of.join(passages_of, ["at_doc", "mark"], "full")
+
+
+def _held(words: list, first: int, windows: int, passage: list, window: int) -> list[tuple[int, int]]:
+    """Which of the windows from first on the passage holds."""
+    mine = words[first:first + windows + window - 1]
+    if mine == passage:
+        return [(first, windows)]
+    a = Automaton()
+    a.add(passage)
+    return [(first + start, n) for start, n in _matched(a, mine, window)]
 
 
 def _matched(automaton: Automaton, words: list, window: int) -> list[tuple[int, int]]:
@@ -305,17 +402,19 @@ def remove(spark: SparkSession, docs: DataFrame, keep: list[str], p: Spans = Spa
     others may have any name.  An empty table gives no rows."""
     keep = [c for c in keep if c.lower() not in ("n_words", "n_removed", "kept_text", "spans")]
     found = materialize(spark, repeats(spark, docs, p), "repeats")
-    by_doc = found.groupBy("at_doc", "mark").agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
-    rows = _keyed(docs, keep).join(by_doc, ["at_doc", "mark"], "left").select("kept", "text", "runs")
+    rows = _keyed(docs, keep).join(found, ["at_doc", "mark"], "left").select("kept", "text", "runs", "passages")
     kept_type = rows.schema["kept"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
-            for text, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            for text, runs, passages in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), batch.column("passages").to_pylist(), strict=True):
                 words = text.split()
+                found = [(r["first"], r["windows"]) for r in runs or ()]
+                for x in passages or ():
+                    found += _held(words, x["first"], x["windows"], x["words"].split(), p.window)
                 gone: list[list[int]] = []
-                for r in sorted((r["first"], r["first"] + r["windows"] + p.window - 1) for r in runs or ()):
+                for r in sorted((first, first + windows + p.window - 1) for first, windows in found):
                     if gone and r[0] <= gone[-1][1]:
                         gone[-1][1] = max(gone[-1][1], r[1])
                     else:
