@@ -2,8 +2,8 @@
 
 Intermediate tables go to the folder that the cluster names in
 ``spark.checkpoint.dir``; driver and executors see it alike, and a table there
-outlives any executor.  Only where that setting is empty (tests, a notebook) a
-folder of this machine is set.
+outlives any executor.  Only where that setting is empty and the master is local
+(tests, a notebook) a folder of this machine is set.
 """
 
 from __future__ import annotations
@@ -28,9 +28,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is set only where none is named."""
+    """The cluster's checkpoint folder.  Where none is named, a local master gets a folder of this machine; another
+    master's executors would not see it, so that is an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="millrace-")
         context.setCheckpointDir(named)
@@ -54,25 +57,29 @@ def write_table(spark: SparkSession, df: DataFrame, tag: str) -> str:
 def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs a reread."""
     schema = df.schema
-    return spark.read.schema(schema).parquet(write_table(spark, df, tag))
+    path = write_table(spark, df, tag)
+    made = spark.read.schema(schema).parquet(path)
+    made.table_path = path
+    return made
 
 
 def drop_table(spark: SparkSession, df_or_path: DataFrame | str) -> None:
     """Delete a table of materialize() that no later step reads."""
-    if isinstance(df_or_path, str):
-        paths = {df_or_path}
-    else:
-        paths = {f.rpartition("/")[0] for f in df_or_path.inputFiles()}
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-        _WRITTEN.discard(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this process.  For when the results that read them are written."""
-    for path in list(_WRITTEN):
+    path = df_or_path if isinstance(df_or_path, str) else df_or_path.table_path
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
+
+
+def written() -> frozenset[str]:
+    """The intermediate tables of this process that are there."""
+    return frozenset(_WRITTEN)
+
+
+def clear(spark: SparkSession, before: frozenset[str] = frozenset(), keep: DataFrame | None = None) -> None:
+    """Delete the intermediate tables of this process, but those that were there before, and keep's own.  For when the
+    results that read them are written."""
+    for path in list(_WRITTEN - before - ({keep.table_path} if keep is not None else set())):
         drop_table(spark, path)
 
 

@@ -23,7 +23,8 @@ LENGTH_SPAN, LENGTH_SHARE = 32, 0.1
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each text, how many of its byte triplets hash into each bucket."""
+    """For each text, how many of its byte triplets hash into each bucket; one or two bytes count as a triplet that ends
+    in zero bytes."""
     n = len(offsets) - 1
     out = np.zeros((n, BUCKETS), np.int64)
     for a, b, piece, at in slices(data, offsets):
@@ -34,6 +35,13 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         doc = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(at))
         whole = doc[:-2] == doc[2:]
         out[a:b] = np.bincount(doc[:-2][whole] * BUCKETS + h[whole], minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS)
+    size = np.diff(offsets)
+    short = np.flatnonzero((size == 1) | (size == 2))
+    if len(short):
+        at = offsets[short]
+        second = np.where(size[short] == 2, data[np.minimum(at + 1, len(data) - 1)], 0).astype(np.uint32)
+        h = ((data[at].astype(np.uint32) << np.uint32(16) | second << np.uint32(8)) * np.uint32(0x9E3779B1)) >> np.uint32(24)
+        out[short, h] = 1
     return out
 
 
@@ -41,7 +49,7 @@ def digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of bytes for each text: its length's logarithm, then two bits for each bucket.
 
     A bucket's code is how many of the three quartiles of the text's counts it exceeds.
-    A text of under three bytes has no triplet; its codes are 0."""
+    An empty text's codes are 0."""
     table = counts(data, offsets)
     ordered = np.sort(table, axis=1)
     quartiles = ordered[:, [BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
@@ -55,12 +63,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """1 for equal digests, down to 0, row by row.
 
     Codes differ by 0 to 3 each; two unrelated texts' codes differ by 1.25 on average, and
-    from there on the likeness is 0.  Lengths count up to LENGTH_SPAN steps."""
+    from there on the likeness is 0.  Lengths count up to LENGTH_SPAN steps.  Texts of up to three
+    bytes have one triplet or none, which no average says anything about: two such are alike, 1, if
+    their digests are equal, and not at all, 0, otherwise."""
     shifts = np.array([6, 4, 2, 0], np.uint8)
     x, y = (((d[:, 1:, None] >> shifts) & 3).astype(np.int16) for d in (a, b))
     apart = np.abs(x - y).reshape(len(a), -1).mean(axis=1) / 1.25
     length = np.minimum(np.abs(a[:, 0].astype(np.int16) - b[:, 0]) / LENGTH_SPAN, 1)
-    return np.round(1 - np.minimum((1 - LENGTH_SHARE) * apart + LENGTH_SHARE * length, 1), 6)
+    score = np.round(1 - np.minimum((1 - LENGTH_SHARE) * apart + LENGTH_SHARE * length, 1), 6)
+    few = np.maximum(a[:, 0], b[:, 0]) <= 16  # 8 log2(3 + 1)
+    return np.where(few, (a == b).all(axis=1).astype(float), score)
 
 
 def fingerprint(texts_column: pa.Array) -> np.ndarray:
@@ -105,8 +117,9 @@ def compare(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next.  The edited text has the last third replaced by the start of the next
     document (descending doc_id, ties by text; after the last, the first; a lone document is
-    its own next).  Null texts are empty; empty texts have equal digests; an empty table
-    gives no rows; other columns are ignored."""
+    its own next).  Null texts are empty; empty texts have equal digests; long texts count whole; rows
+    that repeat are documents of their own; an empty table gives no rows; other columns, whatever
+    their names, are ignored."""
     import hashlib
 
     python_batches(spark)

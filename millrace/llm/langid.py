@@ -138,7 +138,9 @@ def learn(spark: SparkSession, labelled: DataFrame) -> dict[str, np.ndarray]:
     """A prototype of each language of labelled (text, lang), both not null.
 
     Each text counts alike: its vector is scaled to length 1.  Of a language with more than
-    LEARNED_A_LANGUAGE texts, about so many are taken, by a hash of the text."""
+    LEARNED_A_LANGUAGE texts, about so many are taken, by a hash of the text.  Rows with a null are
+    left out, repeated rows count each time, long texts whole; other columns, whatever their names, are
+    ignored; an empty table teaches nothing."""
     python_batches(spark)
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
@@ -166,12 +168,14 @@ def learn(spark: SparkSession, labelled: DataFrame) -> dict[str, np.ndarray]:
 
 
 def predict(spark: SparkSession, docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """All columns of docs (with text), lang_pred and score.
+    """All columns of docs (with text), lang_pred and score; columns of docs with these names give way.
 
     Prototypes are taken against their mean, which holds what all languages share; the
     score is the cosine with the best one, 0 at least.  Ties go to the smaller language.
-    Null texts, texts without a letter, and any text if nothing was learned, are und, 0."""
+    Null texts, texts without a letter, and any text if nothing was learned, are und, 0.  Long texts
+    count whole; rows that repeat are told alike; an empty table gives no rows."""
     python_batches(spark)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")])
     langs = sorted(prototypes)
     if langs:
         table = np.stack([prototypes[k] / max(np.linalg.norm(prototypes[k]), 1e-9) for k in langs])

@@ -49,7 +49,8 @@ def targets(sizes: DataFrame, weights: list[int], max_epochs: int = 3) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: list[int], max_epochs: int = 3, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
-    """keep columns, size, source_size, target and taken of every row of docs (doc_id, text, source).
+    """keep columns, size, source_size, target and taken of every row of docs (doc_id, text, source).  Columns of keep
+    with one of these four names give way; others may have any name.
 
     taken is in words, repeats counted: the size times the whole repetitions of the source,
     plus what the fractional repetition takes; it takes documents in the order of
@@ -58,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: list[int], max_epochs: in
     the null source is a source; rows with equal or null doc_id are documents of their own.
     An empty table gives no rows.  Running sums go by buckets of the order, so a hot source
     is summed by many tasks."""
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c.lower() not in ("size", "source_size", "target", "taken")]
     mark = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     tie = F.xxhash64(F.col("text")) if "text" in keep else F.lit(0)
     held = docs.select(

@@ -63,8 +63,10 @@ def scan(spark: SparkSession, docs: DataFrame, keep: list[str]) -> DataFrame:
     document; an identifier or a secret is reported if its counterpart lies within SCOPE, an
     endpoint if both do.  Null and empty texts have no spans.  Rows are told apart by a key
     that is written with them, so repeated rows and null ids are safe; an empty table gives
-    no rows.  A document's spans meet in one task for its running positions; no text does.
+    no rows.  Long texts are scanned whole.  A column of keep named spans gives way; others may have
+    any name.  A document's spans meet in one task for its running positions; no text does.
     """
+    keep = [c for c in keep if c.lower() != "spans"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(
         F.struct(*keep).alias("kept"), F.monotonically_increasing_id().alias("row"),
