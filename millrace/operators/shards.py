@@ -49,7 +49,7 @@ def admission(m: DataFrame) -> DataFrame:
     ok = ["clean", "pending"]
     reasons = F.filter(F.array(
         F.when(~F.col("tokenizer_ok"), "tokenizer_hash_mismatch"), F.when(~F.col("lineage_ok"), "unknown_cleaning_lineage"),
-        F.when(F.size(bad) > 0, F.concat(F.lit("unsafe_license:"), F.array_join(bad, "+"))),
+        F.when(F.size(bad) > 0, F.concat(F.lit("unsafe_license:"), F.array_join(bad, ","))),
         F.when(~F.col("overlap_status").isin(ok), F.concat(F.lit("eval_overlap:"), "overlap_status")),
         F.when(~F.col("contamination_status").isin(ok), F.concat(F.lit("contaminated:"), "contamination_status")),
         F.when(F.col("never_train"), "never_train_flag"), F.when(F.col("duplicate"), "duplicate"), F.when(F.col("token_count") == 0, "empty_shard"),

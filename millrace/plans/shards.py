@@ -58,7 +58,7 @@ def flagged(m):
 FLAGS = f"""{PLACED}, f AS (SELECT *, ('0x' || substr(content_hash, 1, 2))::INT AS n FROM m),
 g AS (SELECT *, list_filter(string_split(licenses, ','), lambda x: NOT list_contains({O.LICENSES!r}, x)) AS bad FROM f),
 v AS (SELECT *, array_to_string(list_filter([CASE WHEN n % 11 = 0 THEN 'tokenizer_hash_mismatch' END, CASE WHEN n % 13 = 0 THEN 'unknown_cleaning_lineage' END,
-  CASE WHEN len(bad) > 0 THEN 'unsafe_license:' || array_to_string(bad, '+') END, CASE WHEN n % 5 = 0 THEN 'eval_overlap:overlap:item' END,
+  CASE WHEN len(bad) > 0 THEN 'unsafe_license:' || array_to_string(bad, ',') END, CASE WHEN n % 5 = 0 THEN 'eval_overlap:overlap:item' END,
   CASE WHEN n % 17 = 0 THEN 'contaminated:registry_member' END, CASE WHEN n % 19 = 0 THEN 'never_train_flag' END, CASE WHEN n % 23 = 0 THEN 'duplicate' END,
   CASE WHEN token_count = 0 THEN 'empty_shard' END], lambda x: x IS NOT NULL), ';') AS reasons FROM g)"""
 

@@ -14,17 +14,12 @@ TEXT_TABLES, SMALL_BYTES = {"documents", "pages", "conversations"}, 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table in fewer files than there are cores, dealt to all cores; any other as it is.
+    """A small table dealt to all cores; any other as it is.
 
-    A file of one row group is one task however many cores wait.  The size is checked, so that no
-    large table is ever shuffled for this."""
-    spark = df.sparkSession
-    files, cores = df.inputFiles(), spark.sparkContext.defaultParallelism
-    if len(files) >= cores:
-        return df
-    conf, paths = spark._jsc.hadoopConfiguration(), [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
-    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
-    return df.repartition(cores) if size <= SMALL_BYTES else df
+    A file of one row group is one task however many cores wait.  The plan's own statistics give the
+    size, so that no large table is ever shuffled for this, and no list of files comes to the driver."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the cluster's checkpoint folder, where its lineage ends; a local folder only where none is set."""
+    """df as a table in the cluster's checkpoint folder, where its lineage ends; a local folder only where none is set
+    and the master is local: another master's executors would not see it."""
     spark = df.sparkSession
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="millrace-")
         context.setCheckpointDir(named)
