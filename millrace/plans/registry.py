@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millrace.plans import (  # noqa: F401
-    adapters, cleaning, codecs, dedup, evidence, extras, ledger, mixture, packing, pages, relational, series, shards, sources, streams, vocabulary, firewall,
+    adapters, cleaning, codecs, dedup, evidence, extras, ledger, mixture, packing, pages, relational, series, shards, sources, stores, streams, vocabulary, firewall,
 )
 from millrace.plans.base import ORACLES, QUERIES
 

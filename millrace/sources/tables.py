@@ -27,10 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the cluster's checkpoint folder, where its lineage ends; a local folder only where none is set
-    and the master is local: another master's executors would not see it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a local folder only where none is set and the master is local: another
+    master's executors would not see it."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named and not context.master.startswith("local"):
@@ -38,7 +37,13 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="millrace-")
         context.setCheckpointDir(named)
-    path = f"{named.rstrip('/')}/millrace/{uuid.uuid4().hex}/{tag}"
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the cluster's checkpoint folder, where its lineage ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/millrace/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
