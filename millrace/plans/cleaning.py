@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators.clean import drop_reasons, funnel, masked_documents
+from millrace.plans import firewall
 from millrace.plans.base import query
 from millrace.session import importable
 from millrace.sources.tables import table
@@ -172,7 +173,7 @@ def label_quality_agreement(spark, d):
     return judged.join(table(spark, d, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("docs"), F.count_if(F.col("reason").isNull()).alias("kept"))
 
 
-@query("clean_flagship")
+@query("clean_flagship", f"WITH {QUALITY}, {firewall.HITS}, fk AS (SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS rn FROM r WHERE reason IS NULL) WHERE rn = 1), fb AS (SELECT DISTINCT doc_id FROM hit WHERE n >= 5) SELECT lang, docs, kept, clean FROM (SELECT lang, count(*) AS docs FROM documents GROUP BY lang) LEFT JOIN (SELECT lang, count(*) AS kept FROM fk GROUP BY lang) USING (lang) LEFT JOIN (SELECT lang, count(*) AS clean FROM fk WHERE doc_id NOT IN (SELECT doc_id FROM fb) GROUP BY lang) USING (lang)")
 def clean_flagship(spark, d):
     """Quality, exact dedup and decontamination against benchmark, as a funnel by language."""
     from millrace.operators.firewall import hits

@@ -130,11 +130,21 @@ def policy_comparison(spark, d):
     return O.policy("concat_chop")(units(spark, d), 1024).agg(F.count("*").alias("placements"), F.sum(F.col("dst_b") - F.col("dst_a")).alias("used")).select(F.lit("concat_chop").alias("policy"), "placements", "used")
 
 
-@query("policy_grid")
+def _grid(name: str) -> str:
+    if name in ("structure_preserving", "greedy", "best_fit"):
+        return f"SELECT '{name}' AS policy, count(*) AS placements, CAST(coalesce(sum(dst_b - dst_a), 0) AS BIGINT) AS used FROM ({fold('n DESC, unit' if name == 'best_fit' else 'unit')})"
+    only = "" if name == "concat_chop" else "WHERE unit % 8 = 0"
+    return f"SELECT '{name}', count(*), CAST(coalesce(sum(least(e, 1024) - (e - n)), 0) AS BIGINT) FROM (WITH {UNITS} SELECT *, sum(n) OVER (PARTITION BY seq ORDER BY unit) AS e FROM u {only}) WHERE e - n < 1024"
+
+
+GRID = sorted(set(O.POLICIES.values()) | {"pad_only", "greedy"})
+
+
+@query("policy_grid", " UNION ALL ".join(_grid(name) for name in GRID))
 def policy_grid(spark, d):
-    """Every policy over the same units; order-dependent fills, so rows only."""
+    """Every policy over the same units."""
     u, out = units(spark, d), None
-    for name in sorted(set(O.POLICIES.values()) | {"pad_only", "greedy"}):
+    for name in GRID:
         one = O.policy(name)(u, 1024).agg(F.count("*").alias("placements"), F.coalesce(F.sum(F.col("dst_b") - F.col("dst_a")), F.lit(0)).alias("used")).select(F.lit(name).alias("policy"), "placements", "used")
         out = one if out is None else out.unionByName(one)
     return out
