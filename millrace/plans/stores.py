@@ -45,7 +45,7 @@ def shard_cache(spark, d):
     return O.cache_accounting(table(spark, d, "events").select(F.col("user_id").alias("shard"), "event_id"), "event_id")
 
 
-@query("segments_clean", f"WITH c AS (SELECT conv_id AS doc, turn, CASE WHEN role = 'assistant' THEN 'target' ELSE 'context' END AS role, {cleaning.NORMAL} AS x FROM conversations) SELECT doc, turn, role, md5(x) AS text_md5 FROM c WHERE length(x) > 0 AND NOT regexp_matches(x, '[0-9@<\[]')")
+@query("segments_clean", rf"WITH c AS (SELECT conv_id AS doc, turn, CASE WHEN role = 'assistant' THEN 'target' ELSE 'context' END AS role, {cleaning.NORMAL} AS x FROM conversations) SELECT doc, turn, role, md5(x) AS text_md5 FROM c WHERE length(x) > 0 AND NOT regexp_matches(x, '[0-9@<\[]')")
 def segments_clean(spark, d):
     """Segments cleaned, roles kept; those with digits or @, where masks may bite, are held against Python in tests."""
     importable(spark)
