@@ -23,7 +23,8 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 #: Chat-template markers, the rule set for corpora and the one for prose lanes.
 GHOST = r"(?i)<\|[a-z_]+\|>|\[/?INST\]|<</?SYS>>|</?s>|###\s*(?:Human|Assistant|System)\s*:|<\|(?:im_start|im_end|endoftext)\|>"
 GHOST_PROSE = r"(?i)<\|[a-z_]+\|>|\[/?INST\]|<</?SYS>>|###\s*(?:Human|Assistant|System)\s*:"
-#: Personal data, in the order of masking.
+#: Personal data, in the order of masking.  Digits and word characters are ASCII ones, which any SQL engine reads alike;
+#: digits of other scripts are not masked.
 PII = [
     ("EMAIL", r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"),
     ("AADHAAR", r"(?<![0-9])[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}(?![0-9])"),
