@@ -267,3 +267,46 @@ def test_op10_leftovers_are_merged(spark, sample, library):  # noqa: F811
         used[r["sequence_id"]] += r["length"]
     total = sum(len(ids_of(library, t)) for _, t in rows_of(sample))
     assert sum(used.values()) == total and sum(n < 1024 - packing.CUT_GAP for n in used.values()) <= 1
+
+
+def test_pipeline_by_hand(spark, sample, tmp_path, library):  # noqa: F811
+    """Every stage's rows are those that plain Python makes of the rows before."""
+    import corpus_pipeline as p
+    from millrace.llm.common import materialize
+    from tests.llm.test_llm_operators import check_pieces, jaccard_links, water
+
+    folder = str(tmp_path)
+    sample.select(*p.COLUMNS).write.parquet(f"{folder}/documents.parquet")
+    docs, tables = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for _, stage in p.STAGES[:-1]:
+        docs = materialize(spark, stage(spark, docs, folder), "stage")
+        tables.append([tuple(r) for r in docs.collect()])
+    told, single, masked, mixed = tables
+    assert Counter((i, t) for i, t, *_ in told) == Counter((i, t) for i, t in rows_of(sample) if any(c.isalpha() for c in t or ""))
+    groups = jaccard_links([(r[0], r[1]) for r in told])
+    assert sorted(r[0] for r in single) == sorted({g for _, g, _ in groups}) and {r[0] for r in single} < {r[0] for r in told}
+    assert set(single) <= set(told)
+    want = {}
+    for i, text, *_ in single:
+        out, at = [], 0
+        merged = []
+        for a, b in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in spans_by_hand(text).split(",") if x):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            out += [text[at:a], "[SECRET]"]
+            at = b
+        want[i] = "".join(out) + text[at:]
+    assert {r[0]: r[1] for r in masked} == want and all(r[4] == len(r[1]) for r in masked)
+    sizes = Counter()
+    for r in masked:
+        sizes[r[3]] += len(WORD.findall(r[1]))
+    goal, got = water(sizes, [1, 2, 3], 3), Counter()
+    for r in mixed:
+        got[r[3]] += len(WORD.findall(r[1]))
+        full = want[r[0]]
+        assert r[1] == full or WORD.findall(full)[:len(WORD.findall(r[1]))] == WORD.findall(r[1])
+    assert all(abs(got[s] - goal[s]) <= 1 for s in goal) and max(Counter(r[0] for r in mixed).values()) <= 3
+    check_pieces(p.STAGES[-1][1](spark, docs, folder).collect(), [(r[0], r[1]) for r in mixed], library)
