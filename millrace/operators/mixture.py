@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.runs import in_blocks
@@ -102,16 +102,28 @@ def shares_table(spark: SparkSession, schedule: Schedule) -> DataFrame:
     return raw.select("step", "lane", (F.col("raw") / F.sum("raw").over(every)).alias("share"))
 
 
+def quantile(values: str, q: float) -> Column:
+    """The quantile q of a sorted array of doubles, between two values by their weights, as SQL's quantile_cont has it
+    to the last bit: the lower value's product and the sum are rounded once.  F.percentile rounds them twice, and a
+    score that lies at a threshold is then judged otherwise."""
+    at = (F.size(values) - 1) * F.lit(q)
+    part = at - F.floor(at)
+    low, high = (F.get(values, i.cast("int")).cast("double") for i in (F.floor(at), F.ceil(at)))
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - part, high * part).cast("double")
+    return F.when((part > 0) & low.isNotNull(), fused).otherwise(low)
+
+
 def thresholds(scores: DataFrame, by: str = "lane") -> DataFrame:
     """Adds thr to (slot, cand, score): the keep percentile of the last BUFFER scores of earlier slots;
     null until WARM are seen.  Two candidates of a slot share a threshold."""
     seen = in_blocks(scores.withColumn("seq", F.col("slot") * 2 + F.col("cand") + 1), "seq", back=BUFFER)
     frame = Window.partitionBy(by, "block").orderBy("seq").rowsBetween(-BUFFER, -1)
-    past = seen.withColumns({"p": F.percentile("score", F.lit(KEEP_PERCENTILE)).over(frame), "n": F.count("*").over(frame)}).where("own")
+    past = seen.withColumns({"past": F.collect_list("score").over(frame), "n": F.count("*").over(frame)}).where("own")
     # a slot's two candidates lie next to each other in one block; both take what the first one sees
-    thr = F.when(F.col("n") >= WARM, F.col("p"))
+    first = past.withColumn("past", F.when((F.col("cand") == 0) & (F.col("n") >= WARM), F.sort_array("past")))
     pair = Window.partitionBy(by, "block").orderBy("seq")
-    return past.withColumn("thr", F.when(F.col("cand") == 0, thr).otherwise(F.lag(thr).over(pair))).drop("p", "n", "block", "own")
+    both = first.withColumn("p", quantile("past", KEEP_PERCENTILE)).withColumn("thr", F.when(F.col("cand") == 0, F.col("p")).otherwise(F.lag("p").over(pair)))
+    return both.drop("p", "past", "n", "block", "own")
 
 
 def decide(rows: DataFrame) -> DataFrame:
