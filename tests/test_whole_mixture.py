@@ -22,7 +22,7 @@ def at_the_edge(n: int = 60) -> list[tuple[float, float, float]]:
     return found[:: len(found) // n]
 
 
-@pytest.mark.parametrize("name", ["opus_decide", "opus_rates"])
+@pytest.mark.parametrize("name", ["opus_decide", "opus_rates", "opus_winner"])
 def test_scores_at_their_threshold(spark, tmp_path, name):
     rows = []
     for k, (low, high, score) in enumerate(at_the_edge()):
