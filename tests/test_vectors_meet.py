@@ -9,7 +9,7 @@ import pytest
 from millrace.plans.registry import queries
 
 
-@pytest.mark.parametrize("name", ["nearest_label_rate"])
+@pytest.mark.parametrize("name", ["nearest_label_rate", "nearest_neighbor"])
 def test_copies_are_not_broadcast(spark, tmp_path, name, monkeypatch):
     monkeypatch.setattr("millrace.operators.codecs.BLOCK", 8)
     rows = [(i, [math.sin(i * 1.7 + j * j) for j in range(8)], i % 3) for i in range(400)]
