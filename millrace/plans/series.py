@@ -135,9 +135,20 @@ def match_params(spark, d):
 ROUTE = "r AS (SELECT user_id AS tok, event_type AS expert, sum(value) AS score FROM events GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY score DESC, expert) AS rn FROM r), t AS (SELECT tok, expert, score, score / sum(score) OVER (PARTITION BY tok) AS w FROM k WHERE rn <= 2)"
 
 
+def exact_sum(c: str):
+    """The sum of doubles that have up to nine decimals, as decimals, so that no order of rows moves its last bit; of
+    any other doubles, one too large or not finite included, their plain sum."""
+    fits = F.col(c).try_cast("decimal(28,9)")
+    all_fit = F.count(F.when(fits.cast("double") == F.col(c), 1)) == F.count(c)
+    return F.when(all_fit, F.sum(fits).cast("double")).otherwise(F.sum(c))
+
+
 def routed(spark, d, bias=None):
-    """The two best experts of each token with renormalised weights; a bias steers the choice only."""
-    r = table(spark, d, "events").groupBy(F.col("user_id").alias("tok"), F.col("event_type").alias("expert")).agg(F.sum("value").alias("score"))
+    """The two best experts of each token with renormalised weights; a bias steers the choice only.
+
+    Scores are exact sums: experts of equal scores go by name, and a weight halfway between two roundings goes up,
+    however the rows are dealt."""
+    r = table(spark, d, "events").groupBy(F.col("user_id").alias("tok"), F.col("event_type").alias("expert")).agg(exact_sum("value").alias("score"))
     by = F.col("score") + (bias if bias is not None else F.lit(0.0))
     k = r.withColumn("rn", F.row_number().over(Window.partitionBy("tok").orderBy(by.desc(), "expert"))).where("rn <= 2")
     return k.withColumn("w", F.col("score") / F.sum("score").over(Window.partitionBy("tok")))
