@@ -113,4 +113,6 @@ def opus_rates(spark, d):
     states = ["accepted", "protected", "deferred", "rejected"]
     t = O.decide(O.thresholds(scores(spark, d))).groupBy("lane").pivot("status", states).count().na.fill(0, states)
     total = sum(F.col(s) for s in states)
-    return t.select("lane", *states, F.round((F.col("deferred") + F.col("rejected")) / total, 6).alias("rejection_rate"))
+    # as SQL rounds a double: the product with a million, not its decimal digits, which at a half can go the other way
+    rate = F.round((F.col("deferred") + F.col("rejected")) / total * 1e6) / 1e6
+    return t.select("lane", *states, rate.alias("rejection_rate"))

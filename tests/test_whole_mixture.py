@@ -35,3 +35,16 @@ def test_scores_at_their_threshold(spark, tmp_path, name):
     want = con.sql(oracle_sql()[name])
     got = queries()[name](spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want.fetchall()), key=str)
+
+
+def test_rates_at_halves_are_rounded_as_in_sql(spark, tmp_path):
+    """41 of 640 is 0.0640625, of which a double's product with a million lies below the half."""
+    rows = [(i, "view", 0.0 if 0 < i < 616 and i % 15 == 0 else 1.0) for i in range(640)]
+    assert sum(r[2] == 0.0 for r in rows) == 41
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(oracle_sql()["opus_rates"])
+    assert {r[want.columns.index("rejection_rate")] for r in want.fetchall()} == {0.064062}
+    got = queries()["opus_rates"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
