@@ -35,13 +35,16 @@ _HASH_BITS = 18
 LEAST = -(1 << 63)
 
 
-def _repeated(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+
+
+def _repeated(keys: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that count least or more, the most frequent first; and the places where one of them
     can be.  Ties go by a hash of the pair: neighbours of equal count then yield to each other at
     random places, not all in a row.
 
     A table of hashed counts first sets aside what can't repeat; the rest is counted exactly."""
-    bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
     places = np.flatnonzero((np.bincount(bucket, minlength=1 << _HASH_BITS) >= least)[bucket])
     maybe = np.sort(keys[places])
     if not len(maybe):
@@ -53,6 +56,24 @@ def _repeated(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return pairs[np.lexsort((mix(pairs), -count))], places
 
 
+def _index(pairs: np.ndarray, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Which of the pairs each key is, or -1.  A bucket leads to one pair, the first of those that fall in it; keys
+    of the others are searched for."""
+    own, each = _bucket(pairs), np.arange(len(pairs), dtype=np.int32)
+    first = np.full(1 << _HASH_BITS, -1, np.int32)
+    first[own[::-1]] = each[::-1]
+    found = first[bucket]
+    other = np.flatnonzero(pairs[found] != keys)  # with no pair in its bucket, a key is compared with the last one
+    found[other] = -1
+    behind = each[first[own] != each]
+    if len(behind) and len(other):
+        behind = behind[np.argsort(pairs[behind])]
+        at = np.minimum(np.searchsorted(pairs[behind], keys[other]), len(behind) - 1)
+        there = pairs[behind[at]] == keys[other]
+        found[other[there]] = behind[at[there]]
+    return found
+
+
 def _second(seq: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which places are pairs of one symbol with itself; and which of these overlap the one before, counting a
     run's places from its left end."""
@@ -80,22 +101,21 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         same, overlaps = _second(seq, ~last)
         at = np.flatnonzero((live | same) & ~overlaps)
         keys = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        pairs, places = _repeated(keys, MIN_COUNT)
+        bucket = _bucket(keys)
+        pairs, places = _repeated(keys, bucket, MIN_COUNT)
         if not len(pairs):
             break
-        at, keys = at[places], keys[places]
-        order = np.argsort(pairs)
-        by_key = pairs[order]
-        found = np.minimum(np.searchsorted(by_key, keys), len(by_key) - 1)
-        hit = by_key[found] == keys
-        at = at[hit]
-        rank = np.full(len(seq) + 2, len(pairs))  # of a place, one on; the best pair meets no better neighbour, so it gets all its places
-        rank[at + 1] = order[found[hit]]
+        found = _index(pairs, keys[places], bucket[places])
+        hit = found >= 0
+        at, own = at[places[hit]], found[hit]
+        rank = np.full(len(seq) + 2, len(pairs), np.int32)  # of a place, one on; the best pair meets no better neighbour, so it gets all its places
+        rank[at + 1] = own
         live = rank[1:-1] < len(pairs)
-        taken = at[(rank[at + 1] < rank[at]) & (rank[at + 1] < rank[at + 2])]
-        rank = rank[1:]
-        enough = taken[np.bincount(rank[taken], minlength=len(pairs))[rank[taken]] >= MIN_COUNT]
-        used, which = np.unique(rank[enough], return_inverse=True)
+        best = (own < rank[at]) & (own < rank[at + 2])
+        taken, own = at[best], own[best]
+        often = np.bincount(own, minlength=len(pairs)) >= MIN_COUNT
+        used = np.flatnonzero(often)
+        enough, which = taken[often[own]], (np.cumsum(often) - 1)[own[often[own]]]
         rules.append(pairs[used])
         seq[enough] = base + n_rules + which
         n_rules += len(used)
@@ -113,10 +133,17 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    out: list[int] = []
-    for a, b in rules.T.tolist():
-        out.append((1 if a < base else out[a - base]) + (1 if b < base else out[b - base]))
-    return np.array(out, np.int64)
+    """Ids of each rule.  Rules are taken in runs whose sides all lie before the run, of which there are no more than rounds."""
+    sides = rules.astype(np.int64) - base
+    latest, n = sides.max(axis=0, initial=-1), sides.shape[1]
+    out = np.ones(n + 1, np.int64)  # the last one stands for any id
+    a = 0
+    while a < n:
+        later = latest[a:] >= a
+        b = a + int(later.argmax()) if later.any() else n
+        out[a:b] = out[np.maximum(sides[:, a:b], -1)].sum(axis=0)
+        a = b
+    return out[:n]
 
 
 def _bits(values: np.ndarray, width: int) -> bytes:
@@ -179,7 +206,17 @@ class Shard:
             symbols = out
 
     def all_ids(self) -> np.ndarray:
-        return self._decode(self.symbols(0, self.n_symbols))
+        """Each rule is expanded once, not at each of its symbols; but where rules within rules add up to more than
+        the documents, symbols are expanded."""
+        symbols = self.symbols(0, self.n_symbols)
+        if self.lengths.sum() > self.sizes.sum():
+            return self._decode(symbols)
+        expanded = self._decode(self.base + np.arange(len(self.lengths)))
+        begin, size = len(expanded) + np.arange(len(symbols)), np.ones(len(symbols), np.int64)
+        rule = np.flatnonzero(symbols >= self.base)
+        which = symbols[rule] - self.base
+        begin[rule], size[rule] = (np.cumsum(self.lengths) - self.lengths)[which], self.lengths[which]
+        return np.concatenate([expanded, symbols.astype(np.uint32)])[repeat_ranges(begin, size)]
 
     def ids(self, doc: int, start: int = 0, end: int | None = None) -> np.ndarray:
         """ids[start:end] of one document; only the symbols that cover them, and the rules they reach, are expanded."""
